@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import cut, small, stored
+from lakefold.llm.shared import stored
 
 LENGTH = 400
 #: Bytes of an anchor.
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = contexts.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
     kept = stored(contexts.join(repeated, "h").select("h", "ch", "n", "r.*").toDF("h", "ch", "n", "rid", "rth", "lo", "hi", "at"), "contexts")
     # an id on several rows of one text: the text is the same
-    owners = rows.withColumn("own", F.coalesce("id", F.lit(-(1 << 63)))).join(small(kept, 64), F.expr("own = rid AND th = rth"))
+    owners = rows.withColumn("own", F.coalesce("id", F.lit(-(1 << 63)))).join(kept, F.expr("own = rid AND th = rth"))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
     cutouts = owners.select("h", "ch", "n", (F.col("at") - F.col("lo")).alias("at"), bytes_.alias("context"))
     parts = max(16, -(-kept.count() // 10_000))
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = hits.select("id", "th", (F.col("lo") + F.col("w.starts")).alias("s"), (F.col("lo") + F.col("w.ends") + length).alias("e")).distinct()
     spans = hits.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = stored(spans, "spans")
-    narrow = small(spans.toDF("sid", "sth", "spans"), 160)
+    narrow = spans.toDF("sid", "sth", "spans")
     joined = rows.join(narrow, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.select("id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(_removed(with_text), schema)
