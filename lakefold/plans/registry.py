@@ -1,6 +1,402 @@
-"""All queries of this engine but those of `llm`, by name, with their SQL."""
+"""All queries of this engine but those of `llm`, by name, with their SQL.
+
+A query is (spark, sf_dir) -> DataFrame. Queries that are plain SQL in both
+engines share their text; others are written with the DataFrame API or an
+operator of this library and have DuckDB SQL beside them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakefold.functions import compat, registry as functions
+from lakefold.operators import collections as coll
+from lakefold.operators import persist
+from lakefold.plans import iterative
+from lakefold.sources.io import from_rows, table, with_timestamps
+from lakefold.streaming import replay
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function as a query, with its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers SQL text that Spark runs over views of the tables it names; oracle: where DuckDB needs another text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if t in text:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    query(name, oracle or text)(run)
+
+
+# --- projections, filters, predicates, expressions
+
+sql("flagship", "SELECT l_returnflag, count(*) AS c, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem WHERE l_quantity > 30 GROUP BY l_returnflag")
+
+
+@query("filter_project", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * 1.1::DOUBLE, 4) AS adjusted FROM lineitem WHERE l_quantity > 30")
+def _(spark, d):
+    li = table(spark, d, "lineitem").where(F.col("l_quantity") > 30)
+    return li.select("l_orderkey", "l_linenumber", F.round(compat.times(F.col("l_extendedprice"), 1.1), 4).alias("adjusted"))
+
+
+for _name, _op in (("eq", "="), ("eq2", "=="), ("ne", "<>"), ("ne2", "!="), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")):
+    sql(f"cmp_{_name}", f"SELECT p_partkey, p_size FROM part WHERE p_size {_op} 20")
+sql("cmp_string", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+sql("and_or_precedence", "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR c_acctbal < 0 AND (c_mktsegment = 'BUILDING' OR c_nationkey = 3)")
+sql("not_and_arithmetic", "SELECT p_partkey, -p_size + 2 * 3 - p_size % 7 AS x FROM part WHERE NOT p_size > 10")
+sql(
+    "literals_quoted_idents",
+    "SELECT `n_name` AS `select`, 7 AS i, CAST(1.5 AS DOUBLE) AS d, 'it' AS s, TRUE AS b, CAST(NULL AS INT) AS z /* block */ FROM nation n WHERE n.n_nationkey >= 0 -- line",
+    "SELECT n_name AS \"select\", 7 AS i, CAST(1.5 AS DOUBLE) AS d, 'it' AS s, TRUE AS b, CAST(NULL AS INT) AS z FROM nation",
+)
+sql("select_star", "SELECT * FROM nation WHERE n_regionkey = 1")
+sql("int_calc", "SELECT p_partkey, CAST(((p_size + 2) * 3 - 4) div 4 AS BIGINT) AS v FROM part", "SELECT p_partkey, CAST(((p_size + 2) * 3 - 4) // 4 AS BIGINT) AS v FROM part")
+
+
+@query("parse_expression", "SELECT p_partkey, p_size * 2 + 1 AS v FROM part WHERE p_size > 5 AND p_size <= 9")
+def _(spark, d):
+    return table(spark, d, "part").where(F.expr("p_size > 5 AND p_size <= 9")).select("p_partkey", F.expr("p_size * 2 + 1").alias("v"))
+
+
+# --- aggregations
+
+@query("group_count", 'SELECT o_orderpriority, count(*) AS "count" FROM orders GROUP BY o_orderpriority')
+def _(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").count()
+
+
+sql("group_count_filtered", "SELECT o_orderpriority, count(1) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderpriority")
+sql("count_nonnull", "SELECT c_mktsegment, count(*) AS rows_, count(o_orderkey) AS orders_ FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY c_mktsegment")
+sql("group_sum", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus")
+sql("group_avg", "SELECT l_returnflag, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity), 6) AS mean FROM lineitem GROUP BY l_returnflag")
+sql("multi_agg", "SELECT l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS p, round(avg(l_discount), 6) AS a FROM lineitem GROUP BY l_linestatus")
+
+
+@query("sum_all_null_compat", "SELECT n_regionkey, coalesce(sum(CAST(nullif(n_nationkey, n_nationkey) AS DOUBLE)), 0.0) AS s, coalesce(avg(CAST(nullif(n_nationkey, n_nationkey) AS DOUBLE)), 0.0) AS a FROM nation GROUP BY n_regionkey")
+def _(spark, d):
+    x = F.nullif(F.col("n_nationkey"), F.col("n_nationkey"))
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(compat.sum_or_zero(x).alias("s"), compat.avg_or_zero(x).alias("a"))
+
+
+sql("group_by_expression", "SELECT p_size % 5 AS k, count(*) AS n FROM part GROUP BY p_size % 5")
+
+
+@query("reduce_by_key", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    return coll.reduce_by_key(table(spark, d, "orders"), "o_custkey", {"n": F.count("*"), "top": F.max("o_totalprice")})
+
+
+@query("vector_component_sums", "SELECT CAST(pos - 1 AS INT) AS pos, round(sum(CAST(x AS DOUBLE)), 3) AS s FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos")
+def _(spark, d):
+    parts = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
+    return parts.groupBy("pos").agg(F.round(F.sum(F.col("x").cast("double")), 3).alias("s"))
+
+
+# --- joins
+
+sql("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000")
+sql("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
+sql("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 45")
+sql("join_reversed", "SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+sql("join_qualified", "SELECT nation.n_name, region.r_name FROM nation INNER JOIN region ON nation.n_regionkey = region.r_regionkey")
+sql("join_chain", "SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+sql("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
+sql("join_then_filter", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name <> 'NATION_1' AND s_acctbal > 0")
+
+
+@query("join_nullsafe", "SELECT a.k AS k, a.n_name AS left_name, b.n_name AS right_name FROM (SELECT nullif(n_regionkey, 2) AS k, n_name FROM nation) a JOIN (SELECT nullif(n_regionkey, 2) AS k, n_name FROM nation) b ON a.k IS NOT DISTINCT FROM b.k")
+def _(spark, d):
+    n = table(spark, d, "nation").select(F.nullif(F.col("n_regionkey"), F.lit(2)).alias("k"), "n_name")
+    right = n.toDF("k2", "right_name")
+    return compat.join_null_safe(n, right, [("k", "k2")]).select("k", F.col("n_name").alias("left_name"), "right_name")
+
+
+@query("eq_nullsafe_filter", "SELECT n_name FROM nation WHERE nullif(n_regionkey, 1) IS NOT DISTINCT FROM NULL OR n_regionkey IS DISTINCT FROM 3")
+def _(spark, d):
+    k = F.nullif(F.col("n_regionkey"), F.lit(1))
+    return table(spark, d, "nation").where(compat.same(k, F.lit(None)) | compat.differs(F.col("n_regionkey"), F.lit(3))).select("n_name")
+
+
+@query("join_broadcast_small", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 5")
+def _(spark, d):
+    """The plan is left to Spark: it broadcasts part only while its size is under the threshold."""
+    part = table(spark, d, "part").where("p_size < 5").select("p_partkey", "p_brand")
+    return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")
+
+
+# --- user functions, views, catalogue
+
+_BAND = "CASE WHEN c_acctbal >= 7000 THEN 'high' WHEN c_acctbal >= 3000 THEN 'mid' ELSE 'low' END"
+
+
+@query("group_by_udf", f"SELECT {_BAND} AS band, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, d):
+    def band(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: "high" if v >= 7000 else "mid" if v >= 3000 else "low")
+
+    functions.register_scalar(spark, "acct_band", band, "string")
+    table(spark, d, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT acct_band(c_acctbal) AS band, count(*) AS n FROM customer GROUP BY acct_band(c_acctbal)")
+
+
+@query("udf_two_args", "SELECT p_partkey, p_brand || '-' || CAST(p_size AS VARCHAR) AS tag FROM part")
+def _(spark, d):
+    functions.register_scalar(spark, "tag_of", lambda a, b: f"{a}-{b}", "string", vectorised=False)
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_partkey, tag_of(p_brand, p_size) AS tag FROM part")
+
+
+@query("macro_udf", "SELECT s_suppkey, round(s_acctbal * 2 + 1, 2) AS v FROM supplier")
+def _(spark, d):
+    functions.register_sql(spark, "twice_and", "x DOUBLE, y DOUBLE", "DOUBLE", "x * 2 + y")
+    table(spark, d, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql("SELECT s_suppkey, round(twice_and(s_acctbal, 1D), 2) AS v FROM supplier")
+
+
+@query("builder_udf", "SELECT n_name, upper(n_name) || '!' AS loud FROM nation")
+def _(spark, d):
+    made = functions.Builders()
+    made.register("Loud", lambda c: F.concat(F.upper(c), F.lit("!")))
+    return table(spark, d, "nation").select("n_name", made.lookup("lOUD")(F.col("n_name")).alias("loud"))
+
+
+@query("view_roundtrip", "SELECT * FROM orders WHERE o_totalprice > 200000")
+def _(spark, d):
+    table(spark, d, "orders").where("o_totalprice > 200000").createOrReplaceTempView("dear_orders")
+    return spark.table("dear_orders")
+
+
+# --- collections
+
+@query("word_count", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
+def _(spark, d):
+    return coll.word_count(table(spark, d, "documents"), "text")
+
+
+@query("flat_map", "SELECT unnest(string_split(n_name, '_')) AS piece FROM nation")
+def _(spark, d):
+    return coll.flat_map(table(spark, d, "nation"), F.split("n_name", "_"), "piece")
+
+
+@query("map_partitions", "SELECT p_partkey, p_size * 10 AS v FROM part")
+def _(spark, d):
+    import pyarrow.compute as pc
+
+    def tenfold(batches):
+        for b in batches:
+            yield b.set_column(1, "v", pc.multiply(b.column(1), 10).cast("int32"))
+
+    return coll.map_partitions(table(spark, d, "part").select("p_partkey", "p_size"), tenfold, "p_partkey long, v int")
+
+
+@query("reduce_total", "SELECT CAST(sum(p_size) AS BIGINT) AS total, count(*) AS n FROM part")
+def _(spark, d):
+    return table(spark, d, "part").agg(F.sum("p_size").alias("total"), F.count("*").alias("n"))
+
+
+@query("partition_counts")
+def _(spark, d):
+    """Rows of each of three partitions of a local list: 9 and 8 and 8 of 25."""
+    rows = from_rows(spark, [(i,) for i in range(25)], "i int", 3)
+    return rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("union_bag", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def _(spark, d):
+    return coll.union_bag(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("checkpoint_lineage", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5")
+def _(spark, d):
+    return persist.checkpointed(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))).where("n > 5")
+
+
+@query("cache_levels", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def _(spark, d):
+    with persist.cached(table(spark, d, "orders").select("o_orderstatus"), "MEMORY_AND_DISK") as kept:
+        counts = persist.checkpointed(kept.groupBy("o_orderstatus").agg(F.count("*").alias("n")))
+    return counts
+
+
+# --- streaming
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return with_timestamps(table(spark, d, "events"))
+
+
+def _replayed(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    return replay.staged(_events(spark, d), F.col("event_id") % batches, batches)
+
+
+_BY_TYPE = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+
+
+@query("stream_complete", _BY_TYPE)
+def _(spark, d):
+    return replay.run_to_table(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "complete", "lf_complete")
+
+
+@query("stream_update_final", _BY_TYPE)
+def _(spark, d):
+    return replay.updates(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), ["event_type"])
+
+
+@query("stream_append_per_batch", "SELECT CAST(event_id % 3 AS BIGINT) AS b, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return replay.each_batch(_replayed(spark, d), lambda df, k: df.groupBy((F.col("event_id") % 3).alias("b"), "event_type").agg(F.count("*").alias("n")))
+
+
+@query("stream_map_filter_flatmap", "SELECT event_id, unnest(string_split(event_type, 'c')) AS piece FROM events WHERE value > 50")
+def _(spark, d):
+    return replay.run_to_table(_replayed(spark, d).where("value > 50").select("event_id", F.explode(F.split("event_type", "c")).alias("piece")), "append", "lf_pieces")
+
+
+@query("stream_sql_view", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def _(spark, d):
+    _replayed(spark, d).createOrReplaceTempView("lf_event_stream")
+    return replay.run_to_table(spark.sql("SELECT user_id, count(*) AS n FROM lf_event_stream WHERE event_type = 'purchase' GROUP BY user_id"), "complete", "lf_sql")
+
+
+@query("stream_static_join", "SELECT event_id, n_name FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE event_type = 'error'")
+def _(spark, d):
+    joined = _replayed(spark, d).where("event_type = 'error'").join(table(spark, d, "nation"), F.expr("user_id % 25 = n_nationkey"))
+    return replay.run_to_table(joined.select("event_id", "n_name"), "append", "lf_joined")
+
+
+@query("event_window_watermark", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    """Extension: hourly event-time windows over one replayed batch, complete mode."""
+    stream = replay.staged(_events(spark, d), F.lit(0), 1).withWatermark("ts", "1 hour")
+    counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    done = replay.run_to_table(counts, "complete", "lf_windows")
+    return done.select(F.col("w.start").cast("timestamp_ntz").alias("start_"), "event_type", "n")
+
+
+_BATCHED = "(SELECT event_id // 1000 AS b, event_type FROM events)"
+
+
+@query("batch_window_counts", f"SELECT t AS window_end, event_type, count(*) AS n FROM {_BATCHED} e, (SELECT unnest(range(0, 100000)) AS t) w WHERE t >= b AND t < b + 3 GROUP BY 1, 2")
+def _(spark, d):
+    numbered = table(spark, d, "events").withColumn("b", F.expr("event_id div 1000"))
+    return replay.batch_windows(numbered, "b", 3).groupBy("window_end", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("batch_window_slide", f"SELECT t AS window_end, count(*) AS n FROM {_BATCHED} e, (SELECT unnest(range(0, 100000)) AS t) w WHERE t >= b AND t < b + 4 AND t % 2 = 0 GROUP BY 1")
+def _(spark, d):
+    numbered = table(spark, d, "events").withColumn("b", F.expr("event_id div 1000"))
+    return replay.batch_windows(numbered, "b", 4, 2).groupBy("window_end").agg(F.count("*").alias("n"))
+
+
+@query("queue_reemit", "SELECT t AS tick, count(*) AS n FROM events, (SELECT unnest(range(0, 4)) AS t) GROUP BY 1")
+def _(spark, d):
+    return replay.queue_batches(table(spark, d, "events"), 4, False, "event_id").groupBy("tick").agg(F.count("*").alias("n"))
+
+
+@query("queue_one_at_a_time", "SELECT event_id % 4 AS tick, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    numbered = table(spark, d, "events").withColumn("b", F.col("event_id") % 4)
+    return replay.queue_batches(numbered, 4, True, "b").groupBy("tick").agg(F.count("*").alias("n"))
+
+
+# --- iterative algorithms
+
+_FEATURES = "SELECT n_chars / 10000.0::DOUBLE AS f0, CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f1, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)"
+_ROUNDS = 3
+
+
+def _descent() -> str:
+    steps = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(_ROUNDS):
+        e = "(1 / (1 + exp(-(a * f0 + b * f1 + c))) - y)"
+        steps.append(f"w{k + 1} AS (SELECT any_value(a) - 0.5 * sum({e} * f0) / count(*) AS a, any_value(b) - 0.5 * sum({e} * f1) / count(*) AS b, any_value(c) - 0.5 * sum({e}) / count(*) AS c FROM x, w{k})")
+    return f"WITH x AS ({_FEATURES}), " + ", ".join(steps)
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 10000.0).alias("f0"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("f1"))
+    return table(spark, d, "labels").join(docs, "doc_id").select("f0", "f1", F.col("quality").cast("double").alias("y"))
+
+
+@query("logreg_weights", _descent() + f" SELECT round(a, 6) AS w0, round(b, 6) AS w1, round(c, 6) AS bias FROM w{_ROUNDS}")
+def _(spark, d):
+    m = iterative.LogisticRegression(0.5, _ROUNDS, 0.0).fit(_labelled(spark, d), ["f0", "f1"], "y")
+    return spark.createDataFrame([(round(m.weights[0], 6), round(m.weights[1], 6), round(m.bias, 6))], "w0 double, w1 double, bias double")
+
+
+_P = "least(greatest(1 / (1 + exp(-(a * f0 + b * f1 + c))), 1e-15), 1 - 1e-15)"
+
+
+@query("logreg_loss", _descent() + f" SELECT round(avg(-(y * ln({_P}) + (1 - y) * ln(1 - {_P}))), 6) AS loss FROM x, w{_ROUNDS}")
+def _(spark, d):
+    data = _labelled(spark, d)
+    m = iterative.LogisticRegression(0.5, _ROUNDS, 0.0).fit(data, ["f0", "f1"], "y")
+    return spark.createDataFrame([(round(m.loss(data, "y"), 6),)], "loss double")
+
+
+_EDGES = "SELECT DISTINCT 'n' || CAST(s_nationkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst FROM supplier, customer WHERE s_suppkey = c_custkey AND s_nationkey <> c_nationkey"
+
+
+def _ranks(rounds: int) -> str:
+    steps = [f"e AS ({_EDGES})", "v AS (SELECT src AS page FROM e UNION SELECT dst FROM e)", "o AS (SELECT src, count(*) AS n FROM e GROUP BY src)", "r0 AS (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
+    for k in range(rounds):
+        steps.append(
+            f"r{k + 1} AS (SELECT v.page, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * (coalesce(m.s, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE page NOT IN (SELECT src FROM e)) / (SELECT count(*) FROM v)) AS rank"
+            f" FROM v LEFT JOIN (SELECT e.dst, sum(r.rank / o.n) AS s FROM e JOIN o ON e.src = o.src JOIN r{k} r ON r.page = e.src GROUP BY e.dst) m ON m.dst = v.page)"
+        )
+    return "WITH " + ", ".join(steps) + f" SELECT page, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _ranks(5))
+def _(spark, d):
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    edges = s.join(c, F.expr("s_suppkey = c_custkey AND s_nationkey <> c_nationkey")).select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst")).distinct()
+    return iterative.page_rank(edges, iterations=5, tolerance=0.0, normalise=False).select("page", F.round("rank", 9).alias("rank"))
+
+
+# --- extensions: built in, beyond the inventory's present rows
+
+sql("distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+sql("count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus")
+sql("global_aggregate", "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")
+sql("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15")
+sql("order_limit_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+sql("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
+sql("semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+sql("anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+sql("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey")
+sql("rank", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS r FROM orders")
+
+
+@query("running_sum", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS s FROM lineitem")
+def _(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("s"))
+
+
+sql("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+sql("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+sql("case_in_like_between", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 's' WHEN p_size IN (20, 30) THEN 'm' ELSE 'l' END AS k FROM part WHERE p_type LIKE '%A%' AND p_brand IS NOT NULL")
+sql("subquery_cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, n FROM customer JOIN big ON c_custkey = o_custkey WHERE n > (SELECT avg(n) FROM big)")
