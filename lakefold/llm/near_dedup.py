@@ -90,7 +90,7 @@ class _Cluster:
     """Exact links among the sets of one cluster, breadth-first."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, percent: int):
-        self.ids, self.sets, self.sketches, self.percent = np.array(ids), sets, sketches, percent
+        self.ids, self.sets, self.sketches, self.percent = np.array(ids), sets, sketches.view(np.uint64), percent
         self.sizes = np.array([s.size for s in sets])
 
     def roots(self) -> np.ndarray:
