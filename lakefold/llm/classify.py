@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lakefold.llm.shared import held_out
 
+#: Bytes of the sample's texts that are turned into features at once, on the driver.
+FIT_SLICE = 1 << 18
 #: Labelled rows of each class that a model is fitted on, at most.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 1500
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> tuple[pa.Array, np.ndarray, list, float]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.classify import SAMPLE_PER_CLASS, labelled_sample
+from lakefold.llm.classify import FIT_SLICE, SAMPLE_PER_CLASS, labelled_sample
 from lakefold.llm.shared import held_out
 
 BUCKET_BITS = 16
@@ -68,11 +68,11 @@ class SubwordModel:
     def fit(self, texts: pa.Array, y: np.ndarray, share: float, seed: int = 5) -> SubwordModel:
         """SGD over the sample, each class with equal weight; the class shares are put back by a shift of the logit."""
         bags: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo, hi, buf, offs in tk.slices(texts):
+        for lo, hi, buf, offs in tk.slices(texts, FIT_SLICE):
             parts = list(features(buf, offs))
             for i in range(hi - lo):
                 ids, n = np.unique(np.concatenate([b[r[i] : r[i + 1]] for b, r in parts]), return_counts=True)
-                bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+                bags.append((ids.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)))
         counts = np.bincount(y, minlength=2)
         if counts.min() == 0:  # one class or none: a constant
             self.embedding[:] = 0
