@@ -75,4 +75,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s"
+
+
+def _shingled(table: str, key: str) -> str:
+    words = rf"regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w"
+    return f"SELECT DISTINCT {key}, s FROM (SELECT {key}, {_SHINGLES} FROM (SELECT {key}, {words} FROM {table}))"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        WITH d AS ({_shingled("documents", "doc_id")}), q AS ({_shingled("benchmark", "item_id")}),
+        n AS (SELECT item_id, count(*) AS item_shingles FROM q GROUP BY item_id)
+        SELECT doc_id, item_id, item_shingles, count(*) AS hits, count(*)::DOUBLE / item_shingles AS containment
+        FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        m AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+        SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+            CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM p LEFT JOIN m ON p.h = m.h""",
+    "op7_embedding_near_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS lo FROM r GROUP BY a), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+        SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(lo, vec_id)) AS component_id, vec_id <= coalesce(lo, vec_id) AS kept
+        FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
