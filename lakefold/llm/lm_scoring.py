@@ -18,6 +18,7 @@ ever broadcast, and what is gathered grows with the corpus.
 
 from __future__ import annotations
 
+from itertools import pairwise
 from math import lgamma
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkernel as tk
 from lakefold.llm.shared import held_out, stored
 
-ORDER = 3
+ORDER = 5
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 WORDS, GRAMS = 0, 1
@@ -45,8 +46,10 @@ def grams_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lengths = np.diff(offs)
     out[np.arange(buf.size) + np.repeat(extra * np.arange(n) + ORDER, lengths)] = buf
     out[offs[1:] + extra * np.arange(n) + ORDER] = END
-    wide = np.ndarray(shape=(max(0, out.size - ORDER),), dtype=">u4", buffer=out, strides=(1,)).astype(np.uint32)
-    return wide[out[ORDER:] != PAD], np.concatenate(([0], np.cumsum(lengths + 1)))
+    own = out[ORDER:] != PAD
+    out = np.concatenate((np.full(7 - ORDER, PAD, dtype=np.uint8), out))  # so that eight bytes end at each symbol
+    wide = np.ndarray(shape=own.shape, dtype=">u8", buffer=out, strides=(1,))
+    return wide[own].astype(np.uint64) & np.uint64((1 << 8 * (ORDER + 1)) - 1), np.concatenate(([0], np.cumsum(lengths + 1)))
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,21 +146,25 @@ class Level:
         return (own + 0.5) / (self.n0 + self.n1 + 1.0)[self.number]
 
 
-def _levels(keys: np.ndarray, n: np.ndarray) -> tuple[Level, Level, np.ndarray, np.ndarray]:
-    """Depths 3 and 2 of strings that share their two latest context bytes: (deep, upper, ln beta of upper, ln weighted of upper)."""
-    symbol = keys & 0xFF
-    deep, upper = Level(keys >> 8, symbol, n), Level((keys >> 8) & 0xFFFF, symbol, n)
-    parent = np.zeros(deep.keys.size, dtype=np.int64)
-    parent[deep.number] = upper.number
-    below = np.bincount(parent, deep.estimate, upper.keys.size)
-    beta = upper.estimate - below
-    return deep, upper, beta, np.logaddexp(upper.estimate, below) - np.log(2)
+def _levels(keys: np.ndarray, n: np.ndarray) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
+    """Depths ORDER to 2 of strings that share their two latest context bytes: (levels, ln beta of all but the deepest, ln weighted of the last)."""
+    symbol, context, betas = keys & 0xFF, keys >> 8, []
+    levels = [Level(context & ((1 << 8 * d) - 1), symbol, n) for d in range(ORDER, 1, -1)]
+    weighted = levels[0].estimate
+    for deep, upper in pairwise(levels):
+        parent = np.zeros(deep.keys.size, dtype=np.int64)
+        parent[deep.number] = upper.number
+        below = np.bincount(parent, weighted, upper.keys.size)
+        betas.append(upper.estimate - below)
+        weighted = np.logaddexp(upper.estimate, below) - np.log(2)
+    return levels, betas, weighted
 
 
 def _upper_nodes(table: pa.Table) -> pa.Table:
     """What the shallower levels need of one group: counts and ln weighted probability by (latest byte, node)."""
     keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    _, upper, _, weighted = _levels(keys, n)
+    levels, _, weighted = _levels(keys, n)
+    upper = levels[-1]
     return pa.table({"c": pa.array((upper.keys >> 8) & 0xFF), "u": pa.array(upper.keys & 0xFF), "n0": pa.array(upper.n0), "n1": pa.array(upper.n1), "w": pa.array(weighted)})
 
 
@@ -191,8 +198,10 @@ def _mix(beta: np.ndarray, own: np.ndarray, deeper: np.ndarray) -> np.ndarray:
 
 def string_log10(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
     """log10 P(symbol | context) of each string; the strings share their two latest context bytes."""
-    deep, upper, beta, _ = _levels(keys, n)
-    p = _mix(beta[upper.number], upper.next_bit(), deep.next_bit())
+    (deep, *uppers), betas, _ = _levels(keys, n)
+    p = deep.next_bit()
+    for upper, beta in zip(uppers, betas, strict=True):
+        p = _mix(beta[upper.number], upper.next_bit(), p)
     at = upper.keys[upper.number]
     p = top.mixed((at >> 8) & 0xFF, at & 0xFF, upper.bit, p)
     return np.log10(p).reshape(-1, 8).sum(axis=1)
@@ -207,12 +216,12 @@ def _string_scores(top_table):
 
 
 class Lookup:
-    """Values by 32-bit key, open addressing; every key asked for is there."""
+    """Values by 64-bit key, open addressing; every key asked for is there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(8, int(keys.size * 4).bit_length())
-        self.shift, self.mask = np.uint32(32 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint32), np.zeros(1 << bits)
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits)
         free = np.ones(1 << bits, dtype=bool)
         slot, todo = self._slot(keys), np.arange(keys.size)
         while todo.size:
@@ -224,7 +233,7 @@ class Lookup:
             slot[todo] = (slot[todo] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
@@ -242,7 +251,7 @@ class Lookup:
 def _score_block(texts: pa.Table, found: pa.Table) -> pa.Table:
     kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
     own = kind == GRAMS
-    grams = Lookup(key[own].astype(np.uint32), value[own])
+    grams = Lookup(key[own].view(np.uint64), value[own])
     words, counts = key[~own].view(np.uint64), value[~own]
     order = np.argsort(words)
     words, counts = words[order], counts[order]

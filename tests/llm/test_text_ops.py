@@ -172,7 +172,7 @@ def test_kt_and_lookup():
     a, b = np.array([0.0, 3.0, 500.0]), np.array([0.0, 1.0, 20.0])
     want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(x + y + 1) for x, y in zip(a, b)]
     assert lm_scoring.kt_log(a, b) == pytest.approx(want, abs=1e-7)
-    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 3000, dtype=np.uint64)).astype(np.uint32)
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 3000, dtype=np.uint64))
     assert (lm_scoring.Lookup(keys, keys.astype(float)).get(keys) == keys).all()
 
 
