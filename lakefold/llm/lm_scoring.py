@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkernel as tk
 from lakefold.llm.shared import held_out, stored
 
-ORDER = 5
+ORDER = 4
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 WORDS, GRAMS = 0, 1
