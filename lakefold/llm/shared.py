@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def uri_of(path: str) -> str:
+    """path as a URI that pyarrow opens: file:/x, as Hadoop writes it, is file:///x."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[5:]
+    return path if "://" in path else f"file://{path}"
+
+
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path within it."""
+    return fs.FileSystem.from_uri(uri_of(uri))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df by reliable checkpoint: computed once, read from the shared folder."""
     shared_folder(df.sparkSession)

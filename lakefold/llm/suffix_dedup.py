@@ -12,15 +12,21 @@ transform is built column by column from the right: each round inserts one
 symbol of every document, sorts the documents stably by (anchor, symbol) and
 updates the common prefixes with the neighbour in that order. A window whose
 common prefix with a neighbour reaches `length` occurs elsewhere. The columns
-of a batch of documents are written to a sequential file first and streamed
-back one column per round, so a task holds one column and its order, not the
-matrix.
+of a batch of documents are written to a sequential file of the shared folder
+first and streamed back one column per round.
+
+An anchor with more contexts than one task should hold (a passage that a large
+share of all documents has, in different surroundings) is split: its windows are
+dealt by the anchor's place in them into cells of some neighbouring places, and
+by the bytes that all windows of the cell have. Equal windows stay together, as
+they have the same place and bytes. Cells get narrower until every group is small
+enough; at one place a cell, a group is one window, so splitting always ends.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import stored
+from lakefold.llm.shared import fresh_path, store_of, stored
 
 LENGTH = 400
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Documents (contexts) whose columns are inserted together, about.
 BATCH_ROWS = 4096
+#: Contexts of an anchor that are aligned together; larger groups are split.
+GROUP_ROWS = 2048
+#: Places of the anchor in a cell, split by split.
+CELLS = (32, 4, 1)
 _POSITION_BITS = np.uint64(28)
 _ANCHORS = "id long, th long, h long, ch long, lo int, hi int, at int"
+_PARTS = "h long, ch long, n long, h2 long, ch2 long, skip int, size int, at int"
 _FOUND = "h long, ch long, starts array<int>, ends array<int>"
 
 
@@ -133,10 +144,11 @@ class ColumnwiseTransform:
         return out
 
 
-def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, length: int, folder: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context, runs (first, last) of window starts (from the context's first byte) that another context of its group has too.
 
-    group: ascending numbers; at: the anchor's place in each context.
+    group: ascending numbers; at: the anchor's place in each context; folder:
+    where the file of columns is kept meanwhile.
     """
     left = int(at.max())
     ends = np.array([len(t) for t in texts]) - at
@@ -145,19 +157,16 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, leng
     transform = ColumnwiseTransform(group)
     starts = left - at  # the column of each context's first byte
     stops = left + ends
-    with tempfile.TemporaryFile() as file:  # columns, last first, as the rounds read them
-        for lo in range(0, m, 512):
-            part = np.zeros((min(512, m - lo), width), dtype=np.uint8)
-            for i, t in enumerate(texts[lo : lo + 512]):
-                part[i, starts[lo + i] : stops[lo + i]] = np.frombuffer(t, dtype=np.uint8)
-            if lo == 0 and m <= 512:
-                np.ascontiguousarray(part.T[::-1]).tofile(file)
-            else:
-                columns = np.ascontiguousarray(part.T[::-1])
-                for k in range(width):
-                    file.seek(k * m + lo)
-                    file.write(columns[k].tobytes())
-        file.seek(0)
+    rows = np.zeros((m, width), dtype=np.uint8)
+    for i, t in enumerate(texts):
+        rows[i, starts[i] : stops[i]] = np.frombuffer(t, dtype=np.uint8)
+    store, base = store_of(folder)
+    store.create_dir(base, recursive=True)
+    path = f"{base}/{uuid.uuid4().hex}"
+    with store.open_output_stream(path) as file:  # columns, last first, as the rounds read them
+        file.write(np.ascontiguousarray(rows.T[::-1]))
+    del rows
+    with store.open_input_stream(path) as file:
         flagged = np.zeros(m, dtype=bool)
         runs: list[list[int]] = [[] for _ in range(m)]  # first and last of each run, right to left
         for column in range(width - 1, -1, -1):
@@ -169,6 +178,7 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, leng
             flagged = now
         for i in np.flatnonzero(flagged):
             runs[i].append(-int(starts[i]))
+    store.delete_file(path)
     out = []
     for r in runs:
         last, first = np.array(r[::2], dtype=np.int32), np.maximum(np.array(r[1::2], dtype=np.int32), 0)
@@ -176,7 +186,7 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, leng
     return out
 
 
-def _transform_batches(length: int, batch_rows: int):
+def _transform_batches(length: int, batch_rows: int, folder: str):
     """mapInArrow function over contexts sorted by h: the runs of repeated windows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +196,7 @@ def _transform_batches(length: int, batch_rows: int):
             h = np.array([x[0] for x in held], dtype=np.int64)
             group = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
             texts = [x[4] for x in held]
-            found = repeated_windows(group, texts, np.array([x[3] for x in held]), length)
+            found = repeated_windows(group, texts, np.array([x[3] for x in held]), length, folder)
             first, last = [], []
             for (a, b), (_, _, n, _, text) in zip(found, held, strict=True):
                 if n > 1:  # the whole context occurs more than once
@@ -197,6 +207,8 @@ def _transform_batches(length: int, batch_rows: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "ch", "n", "at", "context")), strict=True):
+                if held and row[:2] == held[-1][:2]:  # rows of one text with one id give a context twice; n counts them already
+                    continue
                 if len(held) >= batch_rows and row[0] != held[-1][0]:
                     yield out()
                     held = []
@@ -207,6 +219,55 @@ def _transform_batches(length: int, batch_rows: int):
     return run
 
 
+def _split_batches(length: int, width: int):
+    """mapInArrow function over contexts: the parts of each, by cells of `width` places of the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in tk.slices(batch.column("context")):
+                own = batch.slice(lo, hi - lo)
+                at = own.column("at").to_numpy().astype(np.int64)
+                least = at - (np.diff(offs) - length)  # the anchor's place in the last window; in the first it is at
+                cells = at // width - least // width + 1
+                row = np.repeat(np.arange(hi - lo), cells)
+                cell = (least // width)[row] + np.arange(row.size) - (np.cumsum(cells) - cells)[row]
+                place, low = at[row], cell * width
+                first = place - np.minimum(place, low + width - 1)
+                last = place - np.maximum(least[row], low)
+                sums, q = tk.byte_sums(buf, False)
+                base = offs[row]
+                core = tk.span_hashes(sums, q, base + place - low, base + place - (low + width - 1) + length)
+                h = own.column("h").to_numpy().view(np.uint64)[row]
+                h2 = tk.mix(h ^ tk.mix(core + cell.astype(np.uint64)))
+                ch2 = tk.span_hashes(sums, q, base + first, base + last + length) + tk.mix((place - first).astype(np.uint64) + np.uint64(1))
+                pick = pa.array(row)
+                numbers = (pa.array(x.astype(np.int32)) for x in (first, last - first + length, place - first))
+                yield pa.RecordBatch.from_arrays([*(own.column(c).take(pick) for c in ("h", "ch", "n")), pa.array(tk.signed(h2)), pa.array(tk.signed(ch2)), *numbers], ["h", "ch", "n", "h2", "ch2", "skip", "size", "at"])
+
+    return run
+
+
+def _split_groups(cutouts: DataFrame, length: int, group_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(contexts in groups of at most group_rows, the parts made by each split)."""
+    ready, splits = [], []
+    for width in CELLS:
+        hot = cutouts.where(F.col("m") > group_rows)
+        if not hot.limit(1).count():
+            break
+        ready.append(cutouts.where(F.col("m") <= group_rows))
+        hot = hot.dropDuplicates(["h", "ch"])
+        parts = stored(hot.select("h", "ch", "n", "at", "context").mapInArrow(_split_batches(length, width), _PARTS), "parts")
+        merged = parts.groupBy("h2", "ch2").agg(F.sum("n").alias("n2"), F.min(F.struct("h", "ch", "skip", "size", "at")).alias("r"))
+        repeated = merged.groupBy("h2").agg(F.sum("n2").alias("total"), F.count("*").alias("m2")).where("total > 1").select("h2", "m2")
+        sub = merged.join(repeated, "h2").select("h2", "ch2", "n2", "m2", "r.*").join(hot.select("h", "ch", "context"), ["h", "ch"])
+        bytes_ = F.substring(F.col("context"), F.col("skip") + 1, F.col("size"))
+        cutouts = stored(sub.select("h2", "ch2", "n2", "m2", "at", bytes_).toDF(*cutouts.columns), "contexts")
+        splits.append(parts)
+    for more in ready:
+        cutouts = cutouts.unionByName(more)
+    return cutouts, splits
+
+
 def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int]:
     """(what is left of text without the spans, number of maximal removed runs)."""
     order = sorted(zip(starts, ends, strict=True))
@@ -240,7 +301,7 @@ def _removed(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, batch_rows: int = BATCH_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of docs.
 
     Every byte that a string of `length` bytes covers which also starts anywhere
@@ -248,25 +309,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_text). Null texts are empty; texts shorter than length stay whole. Null
     and repeated ids and repeated rows are rows like others: two equal rows of
     length bytes or more are both removed wholly. Other columns are ignored; an
-    empty table gives no rows. anchor must be at most length.
+    empty table gives no rows. anchor must be at most length. group_rows: contexts
+    of one anchor beyond which it is split.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     anchors = stored(rows.where(F.octet_length("text") >= length).mapInArrow(_anchor_batches(length, anchor), _ANCHORS), "anchors")
     contexts = anchors.groupBy("h", "ch").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))), "th", "lo", "hi", "at")).alias("r"))
-    repeated = contexts.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
-    kept = stored(contexts.join(repeated, "h").select("h", "ch", "n", "r.*").toDF("h", "ch", "n", "rid", "rth", "lo", "hi", "at"), "contexts")
+    repeated = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1").select("h", "m")
+    kept = stored(contexts.join(repeated, "h").select("h", "ch", "n", "m", "r.*").toDF("h", "ch", "n", "m", "rid", "rth", "lo", "hi", "at"), "contexts")
     # an id on several rows of one text: the text is the same
     owners = rows.withColumn("own", F.coalesce("id", F.lit(-(1 << 63)))).join(kept, F.expr("own = rid AND th = rth"))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
-    cutouts = owners.select("h", "ch", "n", (F.col("at") - F.col("lo")).alias("at"), bytes_.alias("context"))
-    parts = max(16, -(-kept.count() // 10_000))
-    # rows of one text with one id give a context twice; n counts them already
-    cutouts = cutouts.repartition(parts, "h").sortWithinPartitions("h", "ch")
-    found = cutouts.mapInArrow(_transform_batches(length, batch_rows), _FOUND).where(F.size("starts") > 0)
-    found = stored(found, "windows")
-    hits = anchors.join(found, ["h", "ch"]).select("id", "th", "lo", F.explode(F.arrays_zip("starts", "ends")).alias("w"))
-    hits = hits.select("id", "th", (F.col("lo") + F.col("w.starts")).alias("s"), (F.col("lo") + F.col("w.ends") + length).alias("e")).distinct()
+    cutouts = stored(owners.select("h", "ch", "n", "m", (F.col("at") - F.col("lo")).alias("at"), bytes_.alias("context")), "cutouts")
+    cutouts, splits = _split_groups(cutouts, length, group_rows)
+    parts = max(16, -(-cutouts.count() // 10_000))
+    aligned = cutouts.select("h", "ch", "n", "at", "context").repartition(parts, "h").sortWithinPartitions("h", "ch")
+    found = aligned.mapInArrow(_transform_batches(length, batch_rows, fresh_path(docs.sparkSession, "columns")), _FOUND).where(F.size("starts") > 0)
+    found = stored(found, "windows").select("h", "ch", F.explode(F.arrays_zip("starts", "ends")).alias("w")).select("h", "ch", "w.*")
+    for split in reversed(splits):
+        moved = split.join(found.toDF("h2", "ch2", "starts", "ends"), ["h2", "ch2"])
+        found = found.union(moved.select("h", "ch", F.col("starts") + F.col("skip"), F.col("ends") + F.col("skip")))
+    hits = anchors.join(found, ["h", "ch"]).select("id", "th", (F.col("lo") + F.col("starts")).alias("s"), (F.col("lo") + F.col("ends") + length).alias("e")).distinct()
     spans = hits.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = stored(spans, "spans")
     narrow = spans.toDF("sid", "sth", "spans")

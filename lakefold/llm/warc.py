@@ -20,11 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakefold.llm.shared import cut, fresh_path, small
+from lakefold.llm.shared import cut, fresh_path, small, store_of, uri_of
 
 #: Bytes of a payload that one row carries, and of compressed input read at once.
 CHUNK = 1 << 16
@@ -35,15 +34,6 @@ _MANIFEST = "path string, records long, bytes long"
 _CHUNKS = "path string, record_no long, record_id string, record_type string, target_uri string, refers_to string, page_id long, block_digest string, payload_digest string, chunk_no long, chunk_bytes long, running_bytes long, running_digest string, last boolean, chunk binary"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
-def _uri(path: str) -> str:
-    """file:/x, as Hadoop writes it, is file:///x."""
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def record_id(page_id: int | None, payload_sha1: str, copy: int = 0) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{payload_sha1}/{copy}')}>"
 
@@ -68,7 +58,7 @@ def _writer(folder: str, level: int):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, at = _store(folder)
+        store, at = store_of(folder)
         store.create_dir(at, recursive=True)
         part = f"{at}/.{task.partitionId():06d}-{task.taskAttemptId()}.part"
         done = f"{at}/{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
@@ -108,7 +98,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     page, without payload. A null html is an empty payload.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"), F.col("response_id").cast("long"))
-    return cut(rows.mapInArrow(_writer(_uri(folder), level), _MANIFEST))
+    return cut(rows.mapInArrow(_writer(uri_of(folder), level), _MANIFEST))
 
 
 class _Members:
@@ -188,7 +178,7 @@ def _reader(with_bytes: bool):
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = _store(path)
+                store, at = store_of(path)
                 record = -1
                 with store.open_input_stream(at, compression=None) as raw:
                     for h, k, piece, seen, digest, last in read_chunks_of(raw):

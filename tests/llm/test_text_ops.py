@@ -130,10 +130,13 @@ def without_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batch", [4096, 40])
-def test_remove_repeats(spark, rows, batch):
-    own = rows[:80] + [(900, "ab" * 200), (901, "x" * 70), (902, "x" * 41)]
-    got = suffix_dedup.remove_repeats(frame(spark, own), length=40, anchor=8, batch_rows=batch).collect()
+@pytest.mark.parametrize("batch, group", [(4096, 2048), (40, 5), (40, 1)])
+def test_remove_repeats(spark, rows, batch, group):
+    """With small groups, anchors are split into cells, down to single windows."""
+    rng = random.Random(3)
+    around = [" ".join(rng.choices(WORDS, k=9)) + " one passage that a good share of the documents has, a line of it " * rng.choice([1, 1, 2]) + " ".join(rng.choices(WORDS, k=9)) for _ in range(40)]
+    own = rows[:80] + [(900, "ab" * 200), (901, "x" * 70), (902, "x" * 41), (903, around[0]), (903, around[0])] + [(910 + k, t) for k, t in enumerate(around)]
+    got = suffix_dedup.remove_repeats(frame(spark, own), length=40, anchor=8, batch_rows=batch, group_rows=group).collect()
     assert sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=repr) == without_repeats(own, 40)
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
