@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = spread(members, 1500)
     links = cut(_compared(rows, percent, parts))
     if members.where("n_blocks > 1").limit(1).count():
-        links = _across_blocks(rows.where("n_blocks > 1"), members.where("n_blocks > 1"), links, percent, parts)
+        links = _across_blocks(rows.where("n_blocks > 1"), members.where("n_blocks > 1"), links, percent, parts, block_shingles)
     roots = links.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "rep")
     named = sets.select("fp1", "fp2", "n_shingles", F.col("id").alias("rep")).join(roots, "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return (
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _across_blocks(rows: DataFrame, members: DataFrame, links: DataFrame, percent: int, parts: int) -> DataFrame:
+def _across_blocks(rows: DataFrame, members: DataFrame, links: DataFrame, percent: int, parts: int, block_shingles: int) -> DataFrame:
     """Links completed over the clusters of several blocks, as stars to the least member."""
 
     def met(pilots: DataFrame) -> DataFrame:
@@ -225,9 +225,11 @@ def _across_blocks(rows: DataFrame, members: DataFrame, links: DataFrame, percen
     pilots = members.where(F.col("block") < PILOTS).groupBy("cluster", "block").agg(F.min("id").alias("id")).select("cluster", "id", F.lit(0).cast("long").alias("chunk"))
     known = cut(links.union(met(pilots)))
     label = connected_components(known).toDF("id", "component")
-    label = members.select("id", "cluster", "n_blocks").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    label = members.select("id", "cluster", "n_shingles").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = label.groupBy("cluster", "component").count()
     largest = sizes.groupBy("cluster").agg(F.max_by("component", "count").alias("main"))
-    rest = label.join(largest, "cluster").where("component <> main").select("id", "cluster", F.pmod(F.xxhash64("id"), F.lit(64)).alias("chunk"))
+    rest = cut(label.join(largest, "cluster").where("component <> main").select("id", "cluster", "n_shingles"))
+    chunks = rest.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_shingles).alias("chunks"))  # each is as large as a block, about
+    rest = rest.join(chunks, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).alias("chunk"))
     done = connected_components(cut(known.union(met(cut(rest)))))
     return done.toDF("src", "dst")

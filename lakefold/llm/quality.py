@@ -66,7 +66,7 @@ class SubwordModel:
         self.shift = 0.0
 
     def fit(self, texts: pa.Array, y: np.ndarray, share: float, seed: int = 5) -> SubwordModel:
-        """SGD over the sample, each class with equal weight; the class shares are put back by a shift of the logit."""
+        """SGD over the sample, each class with equal weight. share is not used: the score is that of equally frequent classes."""
         bags: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi, buf, offs in tk.slices(texts, FIT_SLICE):
             parts = list(features(buf, offs))
