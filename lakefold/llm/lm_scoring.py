@@ -11,13 +11,17 @@ groups that share the two latest context bytes; the shallower levels, 257
 contexts at most, are joined on the driver. As the model is then fixed, a
 string's code length is one number, computed once for each distinct string.
 
-Texts are scored in blocks of bounded size. A block asks only for the strings
-and words that it has, by a shuffle, so neither the model nor the vocabulary is
-ever broadcast, and what is gathered grows with the corpus.
+Texts are scored in blocks of bounded size. A block is written to the shared
+folder, compressed, by the task that counts it and read again by the task that
+scores it, so texts are never shuffled. A block asks only for the strings and
+words that it has, by a shuffle, so neither the model nor the vocabulary is ever
+broadcast, and what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from itertools import pairwise
 from math import lgamma
 
@@ -27,15 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import held_out, stored
+from lakefold.llm.shared import fresh_path, held_out, store_of, stored
 
-ORDER = 4
+ORDER = 5
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 WORDS, GRAMS = 0, 1
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
-_KEYS = "block int, kind int, key long, n long"
+_KEYS = "block long, kind int, key long, n long"
 _SCORES = "id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
 
 
@@ -73,7 +77,7 @@ class _Counter:
         keys, n = np.unique(keys, return_counts=True)
         self.parts.append((keys, n * weight))
         self.size += keys.size
-        if len(self.parts) > 16 and self.size > 4 * self.parts[0][0].size:
+        if len(self.parts) > 16 and self.size > 2 * self.parts[0][0].size:
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +85,7 @@ class _Counter:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         keys = np.concatenate([k for k, _ in self.parts])
         n = np.concatenate([c for _, c in self.parts])
+        self.parts = []
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -89,24 +94,52 @@ class _Counter:
         return self.parts[0]
 
 
-def _count_block(table: pa.Table) -> pa.Table:
-    """Keys of one block, with their counts in its training texts (zero: only others have them)."""
-    block = table.column("block")[0].as_py()
+def _count_blocks(folder: str, block_bytes: int):
+    """mapInArrow function: rows -> keys of each block, with their counts in its training texts (zero: only others have them).
+
+    A block's texts are written below folder, in a file of the block's number. The number is random, so a task that runs
+    again makes blocks of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                rows.append(batch.slice(lo, 256))
+                size += rows[-1].column("text").nbytes
+                if 2 * size >= 3 * block_bytes:  # so that what is left at the end makes no small block
+                    sizes = np.cumsum([r.column("text").nbytes for r in rows])
+                    k = int(np.searchsorted(sizes, block_bytes)) + 1
+                    yield from _count_block(folder, rows[:k])
+                    size -= int(sizes[k - 1])
+                    del rows[:k]
+        if rows:
+            yield from _count_block(folder, rows)
+
+    return run
+
+
+def _count_block(folder: str, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = uuid.uuid4().int >> 65
+    store, base = store_of(folder)
+    store.create_dir(base, recursive=True)
     counters = {WORDS: _Counter(), GRAMS: _Counter()}
-    for batch in table.to_batches(max_chunksize=4096):
-        held = batch.column("held_out").to_numpy(zero_copy_only=False)
-        for lo, hi, buf, offs in tk.slices(batch.column("text")):
-            for kind, made in ((WORDS, words_of), (GRAMS, grams_of)):
-                keys, rows = made(buf, offs)
-                of = np.repeat(held[lo:hi], np.diff(rows))
-                counters[kind].add(keys[~of], 1)
-                if of.any():
-                    counters[kind].add(keys[of], 0)
-    out = []
+    with store.open_output_stream(f"{base}/{block}") as file, pa.ipc.new_stream(file, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in rows:
+            out.write_batch(batch)
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for lo, hi, buf, offs in tk.slices(batch.column("text")):
+                for kind, made in ((WORDS, words_of), (GRAMS, grams_of)):
+                    keys, first = made(buf, offs)
+                    of = np.repeat(held[lo:hi], np.diff(first))
+                    counters[kind].add(keys[~of], 1)
+                    if of.any():
+                        counters[kind].add(keys[of], 0)
     for kind, c in counters.items():
         keys, n = c.merged()
-        out.append(pa.table({"block": pa.array(np.full(keys.size, block, np.int32)), "kind": pa.array(np.full(keys.size, kind, np.int32)), "key": pa.array(tk.signed(keys.astype(np.uint64))), "n": pa.array(n.astype(np.int64))}))
-    return pa.concat_tables(out)
+        for lo in range(0, keys.size, 1 << 16):
+            k = keys[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k.size, block)), pa.array(np.full(k.size, kind, np.int32)), pa.array(tk.signed(k.astype(np.uint64))), pa.array(n[lo : lo + (1 << 16)].astype(np.int64))], ["block", "kind", "key", "n"])
 
 
 _LGAMMA_HALF = lgamma(0.5)
@@ -132,7 +165,7 @@ class Level:
     def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
         k = np.arange(8)
         node = (np.int64(1) << k)[None, :] | (symbol[:, None] >> (8 - k)[None, :])
-        self.bit = ((symbol[:, None] >> (7 - k)[None, :]) & 1).ravel()
+        self.bit = ((symbol[:, None] >> (7 - k)[None, :]) & 1).astype(np.uint8).ravel()
         self.keys, self.number = np.unique((context[:, None] * 256 + node).ravel(), return_inverse=True)
         weight = np.repeat(n, 8).astype(np.float64)
         m = self.keys.size
@@ -219,7 +252,7 @@ class Lookup:
     """Values by 64-bit key, open addressing; every key asked for is there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(8, int(keys.size * 4).bit_length())
+        bits = max(8, int(keys.size * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits)
         free = np.ones(1 << bits, dtype=bool)
@@ -248,29 +281,39 @@ class Lookup:
         return out
 
 
-def _score_block(texts: pa.Table, found: pa.Table) -> pa.Table:
-    kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
-    own = kind == GRAMS
-    grams = Lookup(key[own].view(np.uint64), value[own])
-    words, counts = key[~own].view(np.uint64), value[~own]
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    logs = np.log10(counts + 1)
-    out = []
-    for batch in texts.to_batches(max_chunksize=4096):
-        n = batch.num_rows
-        cols = {c: np.zeros(n) for c in ("base", "score")} | {c: np.zeros(n, np.int64) for c in ("n_bytes", "n_tokens", "n_known")}
-        for lo, hi, buf, offs in tk.slices(batch.column("text")):
-            cols["n_bytes"][lo:hi] = np.diff(offs)
-            g, rows = grams_of(buf, offs)
-            cols["score"][lo:hi] = np.add.reduceat(grams.get(g), rows[:-1])
-            w, rows = words_of(buf, offs)
-            at = np.searchsorted(words, w)
-            cols["base"][lo:hi] = np.add.reduceat(logs[at], rows[:-1])
-            cols["n_known"][lo:hi] = np.add.reduceat((counts[at] > 0).astype(np.int64), rows[:-1])
-            cols["n_tokens"][lo:hi] = np.diff(rows)
-        out.append(pa.table({"id": batch.column("id"), "held_out": batch.column("held_out"), **{c: pa.array(cols[c]) for c in ("n_bytes", "n_tokens", "n_known", "base", "score")}}))
-    return pa.concat_tables(out)
+def _score_block(folder: str):
+    """applyInArrow function: the values of one block's strings and words -> scores of its rows."""
+
+    def run(found: pa.Table) -> pa.Table:
+        kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
+        own = kind == GRAMS
+        grams = Lookup(key[own].view(np.uint64), value[own])
+        words, counts = key[~own].view(np.uint64), value[~own]
+        block = found.column("block")[0].as_py()
+        del found, kind, key, value, own
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        logs = np.log10(counts + 1)
+        store, base = store_of(folder)
+        with store.open_input_stream(f"{base}/{block}") as file, pa.ipc.open_stream(file) as texts:
+            return pa.concat_tables([_scores(batch, grams, words, counts, logs) for batch in texts])
+
+    return run
+
+
+def _scores(batch: pa.RecordBatch, grams: Lookup, words: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> pa.Table:
+    n = batch.num_rows
+    cols = {c: np.zeros(n) for c in ("base", "score")} | {c: np.zeros(n, np.int64) for c in ("n_bytes", "n_tokens", "n_known")}
+    for lo, hi, buf, offs in tk.slices(batch.column("text")):
+        cols["n_bytes"][lo:hi] = np.diff(offs)
+        g, rows = grams_of(buf, offs)
+        cols["score"][lo:hi] = np.add.reduceat(grams.get(g), rows[:-1])
+        w, rows = words_of(buf, offs)
+        at = np.searchsorted(words, w)
+        cols["base"][lo:hi] = np.add.reduceat(logs[at], rows[:-1])
+        cols["n_known"][lo:hi] = np.add.reduceat((counts[at] > 0).astype(np.int64), rows[:-1])
+        cols["n_tokens"][lo:hi] = np.diff(rows)
+    return pa.table({"id": batch.column("id"), "held_out": batch.column("held_out"), **{c: pa.array(cols[c]) for c in ("n_bytes", "n_tokens", "n_known", "base", "score")}})
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, mod: int = 7) -> DataFrame:
@@ -288,8 +331,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, mod).alias("held_out"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    keys = stored(rows.groupBy("block").applyInArrow(_count_block, _KEYS), "keys")
+    rows = rows.coalesce(max(2 * blocks, docs.sparkSession.sparkContext.defaultParallelism))  # small partitions make one block together
+    folder = fresh_path(docs.sparkSession, "texts")
+    keys = stored(rows.mapInArrow(_count_blocks(folder, block_bytes), _KEYS), "keys")
     grams = stored(keys.where(F.col("kind") == GRAMS).groupBy("key").agg(F.sum("n").alias("n")), "strings").withColumn("suffix", F.shiftright("key", 8).bitwiseAND(0xFFFF))
     nodes = grams.groupBy("suffix").applyInArrow(_upper_nodes, "c long, u long, n0 double, n1 double, w double")
     nodes = nodes.groupBy("c", "u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toArrow()  # 257 * 256 rows at most
@@ -302,7 +346,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = words.select("block", F.lit(WORDS).alias("kind"), "key", everywhere.cast("double").alias("value"))
     asked = keys.where(F.col("kind") == GRAMS).select("block", "key").join(strings, "key")
     found = found.union(asked.select("block", F.lit(GRAMS), "key", "value"))
-    scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score_block, _SCORES)
+    scored = found.groupBy("block").applyInArrow(_score_block(folder), _SCORES)
     base = F.col("base") - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
     return scored.select("id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

@@ -4,7 +4,8 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -155,6 +156,47 @@ def test_lm_scores(spark, rows):
     assert lm_scoring.score_texts(frame(spark, [])).count() == 0
 
 
+def test_lm_scores_mix_five_bytes_of_context(spark):
+    """Against context trees of depth five, built node by node."""
+    rng = random.Random(7)
+    own = [(k, " ".join(rng.choices(("green", "grown", "greener", "own", "é"), k=rng.choice((0, 3, 9))))) for k in range(25)] + [(30, None)]
+    found = lm_scoring.score_texts(frame(spark, own), block_bytes=100).collect()
+    held = {r.id: r.held_out for r in found}
+    seen, kids = Counter(), defaultdict(set)
+
+    def decisions(text):
+        s = b"\xfe" * 5 + (text or "").encode() + b"\xff"
+        return [(s[p - 5 : p], 1 << k | s[p] >> 8 - k, s[p] >> 7 - k & 1) for p in range(5, len(s)) for k in range(8)]
+
+    for context, node, bit in (x for i, t in own if not held[i] for x in decisions(t)):
+        for d in range(6):
+            seen[context[5 - d :], node, bit] += 1
+            if d < 5:
+                kids[context[5 - d :], node].add(context[4 - d :])
+
+    def estimate(context, node):
+        a, b = seen[context, node, 0], seen[context, node, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    @cache
+    def below(context, node):
+        return sum(estimate(k, node) if len(k) == 5 else np.logaddexp(estimate(k, node), below(k, node)) - math.log(2) for k in kids[context, node])
+
+    @cache
+    def chance(context, node, bit):
+        p = None
+        for d in range(5, -1, -1):
+            c = context[5 - d :]
+            one = (seen[c, node, bit] + 0.5) / (seen[c, node, 0] + seen[c, node, 1] + 1)
+            share = 1 if p is None else 1 / (1 + math.exp(below(c, node) - estimate(c, node)))
+            p = share * one + (1 - share) * (p or 0)
+        return p
+
+    assert len(found) == len(own) and any(held.values())
+    for r in found:
+        assert r.score == pytest.approx(sum(math.log10(chance(*x)) for x in decisions(dict(own)[r.id])), rel=1e-6)
+
+
 def test_symbol_probabilities_sum_to_one():
     """Over all 256 symbols after a context, seen or not."""
     rng = np.random.default_rng(3)
