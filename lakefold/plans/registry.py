@@ -374,6 +374,30 @@ def _(spark, d):
     return iterative.page_rank(edges, iterations=5, tolerance=0.0, normalise=False).select("page", F.round("rank", 9).alias("rank"))
 
 
+# --- the same two run with their defaults, to convergence or their last round; unrolled SQL of 50 rounds is too slow
+
+
+@query("logreg_default_rounds")
+def _(spark, d):
+    data = _labelled(spark, d)
+    m = iterative.LogisticRegression().fit(data, ["f0", "f1"], "y")
+    return spark.createDataFrame([(m.weights[0], m.weights[1], m.bias, m.loss(data, "y"))], "w0 double, w1 double, bias double, loss double")
+
+
+def trade_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst), distinct: customer to each supplier of its orders, supplier to its nation, nation to each of its customers."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    sold = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.expr("o_orderkey = l_orderkey"))
+    edges = sold.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    edges = edges.union(s.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
+    return edges.union(c.select(F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey"))).distinct()
+
+
+@query("pagerank_converged")
+def _(spark, d):
+    return iterative.page_rank(trade_edges(spark, d)).select("page", "rank")
+
+
 # --- extensions: built in, beyond the inventory's present rows
 
 sql("distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
