@@ -61,6 +61,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reruns agree; equal rows may trade places. Other columns are ignored. An
     empty table gives no rows.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, repeat, bucket_rows).drop("copies")
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """mix_sources with copies: the whole copies that come nearest to taken, for a row without words its source's epochs and one more before the cut."""
     keyed = cut(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), text_col).alias("key"))
     )
@@ -78,14 +83,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))
-    return placed.select("id", "source", "key", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    taken = (epochs * F.col("size") + part).cast("long")
+    whole = F.when(F.col("size") > 0, F.round(taken / F.col("size"))).otherwise(epochs + (rest > F.col("before") + F.col("inside")).cast("long"))
+    return placed.select("id", "source", "key", "size", "source_size", "target", taken.alias("taken"), whole.cast("int").alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of docs' own columns: each document as often as whole copies of it come nearest to its taken words."""
+    """The mix as rows of docs' own columns: each document as often as whole copies of it come nearest to its taken words.
+
+    Documents without words are repeated as their source is: its whole epochs, and once more where their key comes before
+    its cut. A source without any words has no epoch, so its documents are left out.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = mix_sources(docs, **options)
-    times = found.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.max(F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("__times")).where("__times > 0")
+    found = _mixed(docs, **options)
+    times = found.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.max("copies").alias("__times")).where("__times > 0")
     times = small(cut(times), 40)
     key = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), text_col)
     joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")))

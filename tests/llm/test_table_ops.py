@@ -205,3 +205,9 @@ def test_toxicity(spark):
     held = [r for r in found if r.held_out and r.id in truth]
     assert sum(r.predicted == truth[r.id][1] for r in held) >= 0.95 * len(held)
     assert {r.score for r in toxicity.toxicity_scores(d, y.limit(0)).collect()} == {0.5}
+
+
+def test_mixed_rows_keep_rows_without_words(spark):
+    rows = [(k, "w " * 10, "abc"[k % 3]) for k in range(60)] + [(100 + k, "", "c") for k in range(5)]
+    got = Counter(r.doc_id for r in mixing.mixed_rows(docs(spark, rows)).collect())
+    assert all(got[100 + k] in (1, 2) for k in range(5))  # c's target is 1.5 times its words
