@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakefold.llm import decontaminate, mixing, near_dedup, quality, sharding
@@ -16,11 +16,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates (similarity 0.8 or more)."""
-    found = near_dedup.near_duplicates(docs)
-    gone = stored(found.where("id IS NOT NULL AND NOT kept").select(F.col("id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(small(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return kept
+    """The document with the least id of each group of near duplicates (similarity 0.8 or more).
+
+    Of rows with equal id and text one stays. Rows without an id, and the further texts of an id, are nodes of their own
+    above all ids, so each group keeps one row, with an id where it has one.
+    """
+    h = F.xxhash64("text")
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), h)).orderBy(h)
+    own = F.col("doc_id").isNotNull() & (F.row_number().over(same) == 1)
+    far = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    rows = stored(docs.dropDuplicates(["doc_id", "text"]).withColumn("__node", F.when(own, F.col("doc_id").cast("long")).otherwise(far)), "rows")
+    found = near_dedup.near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"))
+    gone = stored(found.where("NOT kept").select(F.col("id").alias("__gone")).distinct(), "gone")
+    return rows.join(small(gone, 16), F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,3 +25,10 @@ def test_stages(spark):
             assert Counter(r.doc_id for r in docs.collect()) == Counter(r.doc_id for r in before.collect())
     assert kept[1] < kept[0] and kept[2] < kept[1] and kept[5] == kept[4] > 0
     assert corpus_pipeline.run(spark, SF).count() == kept[5]
+
+
+def test_near_dedup_stage_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, b)]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.text for r in got) == [a, b, c] and {r.doc_id for r in got if r.text in (a, c)} == {1, 2}
