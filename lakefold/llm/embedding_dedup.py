@@ -182,30 +182,32 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str =
         fine = fine & ~bad
     keyed = F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)), F.struct("label", F.sha2(F.to_json(v).cast("binary"), 256).alias("h")))
     rows = cut(rows.withColumn("k", keyed))
-    groups = cut(rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("gid"), F.count("*").alias("n"), F.any_value("v").alias("v")).select("gid", "k.label", F.size("v").alias("dim"), "n", "v", "k"))
+    groups = cut(rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.any_value("v").alias("v")).select(F.monotonically_increasing_id().alias("gid"), "node", "k.label", F.size("v").alias("dim"), "n", "v", "k"))
     found = [_of_dim(groups.where(F.col("dim") == d), cosine, sample, tile) for d in [r[0] for r in groups.select("dim").distinct().collect()]]
     if found:
         links = found[0]
         for more in found[1:]:
             links = links.union(more)
         links = cut(links)
-        comps = connected_components(links.select(F.col("gid").alias("src"), F.col("other").alias("dst"))).toDF("gid", "component")
+        nodes = groups.select("gid", "node")  # groups of one id are one node, but have links of their own
+        edges = links.join(nodes.toDF("gid", "src"), "gid").join(nodes.toDF("other", "dst"), "other")
+        comps = connected_components(edges.select("src", "dst")).toDF("node", "component")
         counts = links.groupBy("gid").agg(F.sum("n").alias("linked"))
-        named = groups.select("k", "gid", "n").join(counts, "gid", "left").join(comps, "gid", "left")
+        named = groups.select("k", "gid", "node", "n").join(counts, "gid", "left").join(comps, "node", "left")
     else:
-        named = groups.select("k", "gid", "n").withColumns({"linked": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
-    named = named.select("k", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "gid").alias("component"))
+        named = groups.select("k", "node", "n").withColumns({"linked": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    named = named.select("k", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "k").join(named, "k", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def _of_dim(groups: DataFrame, cosine: float, sample: int, tile: int) -> DataFrame:
     """(gid, other, n) of the vectors of one length."""
-    some = groups.orderBy(F.xxhash64("gid", "label")).limit(sample).select("v").toArrow()
+    some = groups.orderBy(F.xxhash64("node", "label")).limit(sample).select("v").toArrow()
     axes = Axes(_unit(_matrix(some.column(0).combine_chunks())) if some.num_rows else np.zeros((0, 1)))
     side = float(np.sqrt(max(1e-9, 2 - 2 * cosine))) * (1 + 1e-6)
     cells = groups.select("gid", "v").mapInArrow(_cells(axes.turn, side), "gid long, x int, y int")
-    cells = cut(cells.dropDuplicates(["gid"]))
+    cells = cut(cells)
     placed = groups.select("gid", "label", "n", "v").join(cells, "gid")
     sizes = placed.groupBy("label", "x", "y").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
     sizes = small(cut(sizes), 64)

@@ -211,3 +211,9 @@ def test_mixed_rows_keep_rows_without_words(spark):
     rows = [(k, "w " * 10, "abc"[k % 3]) for k in range(60)] + [(100 + k, "", "c") for k in range(5)]
     got = Counter(r.doc_id for r in mixing.mixed_rows(docs(spark, rows)).collect())
     assert all(got[100 + k] in (1, 2) for k in range(5))  # c's target is 1.5 times its words
+
+
+def test_embeddings_of_a_repeated_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], "x"), (1, [0.0, 1.0, 0.0], "x"), (2, [1.0, 0.01, 0.0], "x"), (3, [0.01, 1.0, 0.0], "x"), (4, [0.02, 1.0, 0.0], "x")]
+    got = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
