@@ -1,13 +1,15 @@
-"""What the two text classifiers share: bounded labelled samples and folds."""
+"""What the two text classifiers share: bounded labelled samples, and scoring straight from Arrow's string buffers."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakefold.llm.shared import held_out
+from lakefold.llm.shared import held_out, short_batches
 
 #: Bytes of the sample's texts that are turned into features at once, on the driver.
 FIT_SLICE = 1 << 18
@@ -21,7 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     The sample is bounded: at most per_class ids of each class, those with the
     least hash, of the rows that are not held out. Null labels and null ids are
     left out; an id labelled twice has its largest label; a null text is empty;
-    an id on several documents brings all its texts, up to four times the bound.
+    an id on several documents brings one text, the one of least hash.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4))
     own = own.groupBy(F.col(id_col).cast("long").alias("__id")).agg((F.max(label) > 0).cast("int").alias("__y"))
@@ -33,8 +35,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = spark.createDataFrame([(r["__id"], r["__y"]) for r in picked], "__id long, __y int")
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), lang.alias("l"))
-    got = rows.join(F.broadcast(chosen), "__id").limit(8 * per_class).toArrow().sort_by([("__id", "ascending"), ("t", "ascending")])
+    found = rows.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "l")).alias("r"))
+    got = found.select("__id", "__y", "r.t", "r.l").toArrow().sort_by("__id")
     texts = got.column("t").combine_chunks() if got.num_rows else pa.array([], pa.string())
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return texts, np.array(got.column("__y").to_pylist(), dtype=np.int64), got.column("l").to_pylist(), share
+
+
+def probability(text: Column, sent, logits: Callable, docs: DataFrame) -> Column:
+    """The logistic of logits(texts, model) for each text, sent being the broadcast model; null texts are empty."""
+    short_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(1 / (1 + np.exp(-np.clip(logits(texts, sent.value), -40, 40))))
+
+    return score(text)

@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the average of learned vectors of its hashed features: words, and
-character n-grams of four widths, and whether a word repeats the one before it.
-Two output vectors and a softmax give the
+A text is the average of learned vectors of its features: hashed words, hashed
+character n-grams of four widths, and word pairs of one word twice (all such pairs
+have one bucket, other pairs another; both lie beside the hashed ones). Two output vectors and a softmax give the
 probability of label 1; both layers are trained together by stochastic gradient
 descent in numpy. For scoring, the output layer is folded into the embedding
 (the average of vectors times a vector is the average of products), so each
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.classify import FIT_SLICE, SAMPLE_PER_CLASS, labelled_sample
+from lakefold.llm.classify import FIT_SLICE, SAMPLE_PER_CLASS, labelled_sample, probability
 from lakefold.llm.shared import held_out
 
 BUCKET_BITS = 16
@@ -29,16 +29,16 @@ THRESHOLD = 0.7
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each feature, first feature of each row and the end) for words, for repeats, then for each width of n-grams.
+    """(bucket of each feature, first feature of each row and the end) for words, for word pairs, then for each width of n-grams.
 
     n-grams of a row stay inside it.
     """
     words, rows = tk.word_hashes(buf, offs)
     yield (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), rows
-    again = np.zeros(words.size, dtype=np.int64)  # bucket 0: a fresh word, 1: a repeated one
+    again = np.zeros(words.size, dtype=np.int64)
     again[1:] = words[1:] == words[:-1]
     again[rows[:-1][rows[:-1] < words.size]] = 0
-    yield again, rows
+    yield again + (1 << BUCKET_BITS), rows
     wide = buf.astype(np.uint32)
     for n in WIDTHS:
         if buf.size < n:
@@ -60,7 +60,7 @@ class SubwordModel:
 
     def __init__(self, seed: int = 3):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.embedding = rng.normal(0, 0.05, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+        self.embedding = rng.normal(0, 0.05, ((1 << BUCKET_BITS) + 2, DIM)).astype(np.float32)
         self.output = rng.normal(0, 0.05, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
         self.shift = 0.0
@@ -72,7 +72,7 @@ class SubwordModel:
             parts = list(features(buf, offs))
             for i in range(hi - lo):
                 ids, n = np.unique(np.concatenate([b[r[i] : r[i + 1]] for b, r in parts]), return_counts=True)
-                bags.append((ids.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)))
+                bags.append((ids.astype(np.uint32), (n / max(1, n.sum())).astype(np.float32)))
         counts = np.bincount(y, minlength=2)
         if counts.min() == 0:  # one class or none: a constant
             self.embedding[:] = 0
@@ -103,8 +103,9 @@ class SubwordModel:
         return (self.embedding @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0] + self.shift)
 
 
-def logits(texts: pa.Array, table: np.ndarray, constant: float) -> np.ndarray:
+def logits(texts: pa.Array, folded: tuple[np.ndarray, float]) -> np.ndarray:
     """Logit of label 1 for each text; a text without features has the constant."""
+    table, constant = folded
     out = np.full(len(texts), constant)
     for lo, hi, buf, offs in tk.slices(texts):
         total, n = np.zeros(hi - lo), np.zeros(hi - lo)
@@ -122,21 +123,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     return SubwordModel().fit(texts, y, share)
 
 
-def score_quality(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:
-    """docs with a column score, the probability of label 1. Null texts score as empty ones; an existing score is replaced."""
+def score_quality(docs: DataFrame, model: SubwordModel, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a column `out`, the probability of label 1. Null texts score as empty ones; a column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model.folded())
-
-    @F.pandas_udf("double")
-    def score(texts):
-        return _sigmoid(logits(pa.Array.from_pandas(texts.fillna(""), type=pa.large_string()), *sent.value))
-
-    return docs.withColumn("score", score(F.col(text_col).cast("string")))
-
-
-def _sigmoid(z: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    return docs.withColumn(out, probability(F.col(text_col).cast("string"), sent, logits, docs))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
