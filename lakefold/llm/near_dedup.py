@@ -7,7 +7,8 @@ their similarity, which drops candidates that are far below the threshold.
 What is left is confirmed on full sets.
 
 Equal sets are collapsed first, with map-side combining, so a group of equal
-copies of any size costs one representative. Near copies are linked to a
+copies of any size costs one representative; the sets are the nodes, and an id
+on rows of several sets ties these together at the end. Near copies are linked to a
 bucket's least member, never pair by pair, and the full sets of a cluster are
 compared breadth-first: a text that has joined a component is compared no more.
 A cluster larger than one task may hold is dealt into blocks that meet through
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import connected_components, cut, small, spread
+from lakefold.llm.shared import connected_components, cut, short_batches, small, spread, stored
 
 BANDS, ROWS = 24, 5
 SKETCH_BITS = 256
@@ -38,7 +39,7 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _SEEDS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _TAGS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _FOLD = (_rng.integers(0, 1 << 63, ROWS, dtype=np.uint64)) | np.uint64(1)
-_SIGNATURE = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
+_SIGNATURE = "id long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
 
 
 def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -69,7 +70,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         n = batch.num_rows
         counts, prints = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
         samples = np.zeros((n, _SEEDS.size), np.uint32)
-        for i, s in tk.shingle_sets(batch.column(1)):
+        for i, s in tk.shingle_sets(batch.column("text")):
             if s.size:
                 counts[i] = s.size
                 prints[i] = s.sum(dtype=np.uint64), tk.mix(s).sum(dtype=np.uint64)
@@ -78,12 +79,18 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         keys = tk.mix((folded * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _TAGS[0])
         sketches = odd_sketches(samples) if n else np.zeros((0, SKETCH_BITS // 64), np.int64)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel())) for a in (tk.signed(keys), sketches)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), *(pa.array(tk.signed(prints[:, k].copy())) for k in (0, 1)), *lists], ["id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(counts), *(pa.array(tk.signed(prints[:, k].copy())) for k in (0, 1)), *lists], ["id", "th", "n_shingles", "fp1", "fp2", "bands", "sketch"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, set size, 128-bit fingerprint of the set, band keys and odd sketch."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_signature_batches, _SIGNATURE)
+    """Per row: id, hash of the text, set size, 128-bit fingerprint of the set, band keys and odd sketch."""
+    short_batches(docs.sparkSession)
+    return _rows(docs, id_col, text_col).mapInArrow(_signature_batches, _SIGNATURE)
 
 
 class _Cluster:
@@ -174,40 +181,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty texts, and texts without words, have no shingles: linked with
     nothing. Rows with a null id are linked with nothing and have a null
-    component_id and kept false. Repeated ids are one node. Other columns of
-    docs are ignored, whatever their names. An empty table gives no rows.
+    component_id and kept false. An id on several rows is one node, linked by
+    each of its texts. Repeated rows count once. Other columns of docs are
+    ignored, whatever their names. An empty table gives no rows.
     """
     sig = cut(signatures(docs, id_col, text_col))
     live = sig.where("id IS NOT NULL AND n_shingles > 0")
+    key = ["fp1", "fp2", "n_shingles"]
     # collapsed: one representative for each distinct set
-    sets = cut(live.groupBy("fp1", "fp2", "n_shingles").agg(F.min_by(F.struct("bands", "sketch"), "id").alias("s"), F.min("id").alias("id")).select("fp1", "fp2", "n_shingles", "id", "s.bands", "s.sketch"))
-    banded = sets.select("id", F.explode("bands").alias("key"))
-    buckets = cut(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("m")).where("m > 1"))
+    sets = live.groupBy(*key).agg(F.min_by(F.struct("bands", "sketch"), "id").alias("s"), F.min(F.struct("id", "th")).alias("r"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("set"), *key, "r.id", "r.th", "s.bands", "s.sketch"))
+    banded = sets.select("set", F.explode("bands").alias("key"))
+    buckets = cut(banded.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.count("*").alias("m")).where("m > 1"))
     pairs = buckets.where("m = 2").select("a", "b").distinct()
-    of = sets.select("id", "sketch")
+    of = sets.select("set", "sketch")
     differing = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b").where(differing <= most_differing(LEAST_ESTIMATE))
-    stars = buckets.where("m > 2").join(banded, "key").select(F.col("a"), F.col("id").alias("b"))
-    cluster_of = connected_components(pairs.select("a", "b").union(stars).distinct().toDF("src", "dst")).toDF("id", "cluster")
+    stars = buckets.where("m > 2").join(banded, "key").select(F.col("a"), F.col("set").alias("b"))
+    cluster_of = connected_components(pairs.select("a", "b").union(stars).distinct().toDF("src", "dst")).toDF("set", "cluster")
 
-    members = cut(cluster_of.join(sets.select("id", "n_shingles", "sketch"), "id"))
+    members = cut(cluster_of.join(sets.select("set", "id", "th", "n_shingles", "sketch"), "set"))
     sizes = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.col("total") / block_shingles).cast("int")
-    members = cut(members.join(sizes.select("cluster", blocks.alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks").cast("long"))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(small(members, 100), "id")
+    members = cut(members.join(sizes.select("cluster", blocks.alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("n_blocks").cast("long"))))
+    rows = _rows(docs, id_col, text_col).join(small(members, 120), ["id", "th"]).select("cluster", "block", "n_blocks", F.col("set").alias("id"), "sketch", "text")
+    rows = stored(rows.dropDuplicates(["id"]), "members")  # a row of a representative may occur more than once
+    members = members.drop("id", "th").withColumnRenamed("set", "id")
     parts = spread(members, 1500)
     links = cut(_compared(rows, percent, parts))
     if members.where("n_blocks > 1").limit(1).count():
         links = _across_blocks(rows.where("n_blocks > 1"), members.where("n_blocks > 1"), links, percent, parts, block_shingles)
-    roots = links.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "rep")
-    named = sets.select("fp1", "fp2", "n_shingles", F.col("id").alias("rep")).join(roots, "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    return (
-        sig.select("id", "n_shingles", "fp1", "fp2")
-        .join(named, ["fp1", "fp2", "n_shingles"], "left")
-        .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
-    )
+    roots = links.groupBy(F.col("src").alias("set")).agg(F.min("dst").alias("root"))
+
+    print_ = F.xxhash64(*key)
+    several = cut(sig.where("id IS NOT NULL").groupBy("id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).where("a <> b").select("id"))
+    tied = several.limit(1).count() > 0
+    if tied:
+        sets_of = cut(live.join(small(several, 8), "id").select("id", *key).distinct().join(sets.select(*key, "set"), key).select("id", "set"))
+        ties = sets_of.join(sets_of.groupBy("id").agg(F.min("set").alias("first")), "id").select("set", "first")
+        roots = connected_components(cut(roots.union(ties)).toDF("src", "dst")).toDF("set", "root")
+    linked = cut(roots.join(sets.select("set", "id"), "set"))
+    least = linked.groupBy("root").agg(F.min("id").alias("component"))
+    linked = linked.join(least, "root").select("set", "component")
+    named = sets.join(linked, "set", "left").select("set", *key, F.coalesce("component", "id").alias("component"))
+    out = sig.select("id", *key).join(named.drop("set"), key, "left")
+    if tied:
+        of_id = cut(sets_of.join(named.select("set", "component"), "set").groupBy("id").agg(F.min("component").alias("of_id")))
+        out = out.join(small(of_id, 16), "id", "left").withColumn("component", F.coalesce("of_id", "component"))
+    out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def _across_blocks(rows: DataFrame, members: DataFrame, links: DataFrame, percent: int, parts: int, block_shingles: int) -> DataFrame:

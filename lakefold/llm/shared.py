@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 #: Bytes that a side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_BYTES = 16 << 20
 
+#: Edges of a node from which it is a hub, at least.
+HUB_EDGES = 1000
+#: Rows of an Arrow batch: ten times fewer than Spark's default, as a row here is a whole text.
+BATCH_ROWS = 1024
+
 #: Java's form of the words that every operator here counts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,6 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows between Spark and Python in this session, unless it has set a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
@@ -85,10 +97,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph of (src, dst), as (node, component).
 
     component is the least node of the component. Alternates large-star and
-    small-star steps until the edges are stars, each step a partial aggregation
-    and a join, so a hot node is combined on the map side and its join is split
-    by adaptive execution. Rows with a null end are left out; so are nodes
-    without an edge to another node.
+    small-star steps until the edges are stars. A node's least neighbour is
+    combined on the map side; the edges of a hub then meet it by broadcast, as
+    only few nodes can have that many edges, and those of the others by a
+    shuffle. Rows with a null end are left out; so are nodes without an edge to
+    another node.
     """
     now = cut(
         edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
@@ -97,10 +110,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     seen = _mark(now)
     while seen[0]:
-        both = now.union(now.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.distinct()
+        large = _large_star(now, seen[0]).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         rest = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = cut(least.select("hi", F.col("m").alias("lo")).union(rest).distinct())
@@ -111,6 +121,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select("component", "component").distinct())
 
 
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each node's greater neighbours, linked to the least of the node and its neighbours; n: number of edges."""
+    both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    many = max(HUB_EDGES, 2 * n // (BROADCAST_BYTES // 32))  # so that at most BROADCAST_BYTES // 32 nodes have more
+    if n > many:
+        hubs = cut(least.where(F.col("degree") > many).select("u", "m"))
+        if hubs.limit(1).count():
+            hubs = F.broadcast(hubs)
+            others = both.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= many), "u")
+            both = others.select("u", "v", "m").union(both.join(hubs, "u").select("u", "v", "m"))
+            return both.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     """Count and order-free hash of the edges: equal marks mean equal edges."""
     n, h = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first()

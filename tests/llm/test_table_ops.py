@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lakefold.llm import embedding_dedup, mixing, quality, sharding, toxicity, warc
+from lakefold.llm import embedding_dedup, mixing, quality, sharding, shared, toxicity, warc
 from lakefold.llm.shared import connected_components
 
 SCHEMA = "doc_id long, text string, source string, lang string, size long, bucket int"
@@ -18,7 +18,10 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, s, "en", 7, 7) for i, t, s in rows], SCHEMA)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, hub, monkeypatch):
+    """With hubs of few edges, their edges meet the least neighbour by broadcast."""
+    monkeypatch.setattr(shared, "HUB_EDGES", hub)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 440)] + [(5, None), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
