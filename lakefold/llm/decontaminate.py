@@ -7,9 +7,10 @@ one-permutation MinHash has twice as many bins as its largest set has shingles:
 at least 78 % of a set's shingles are the minimum of their bin. Each item is
 sketched once for every partition; an item and a document with an equal minimum
 in a bin are a candidate, so an item of q shingles with a share t in the document
-is missed with a probability of about 0.22 ** (t * q), and candidates are then
-verified by exact containment of all the item's shingles. Items too short for
-that (under eight shingles) are probed with all their shingles.
+is missed with a probability of about 0.22 ** (t * q). Items too short for that
+(under SHORT_ITEM shingles) are probed with all their shingles. Only candidates
+are verified, by exact containment: all the item's shingles are looked up in the
+document's set.
 
 Items travel to the executors in blocks of bounded size, each searched against
 all documents; a document is hashed where it is read, and no text is shuffled.
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import WORD, cut, stored
+from lakefold.llm.shared import WORD, cut, short_batches, stored
 
 #: Shingles of the items that are sent to the executors at once (8 bytes each, and as many bytes of item numbers).
 BLOCK_SHINGLES = 1_000_000
-#: Items with fewer shingles are probed with all of them.
-SHORT_ITEM = 8
+#: Items with fewer shingles are probed with all of them; with so many, 0.8 contained, a miss has a probability of 4e-9.
+SHORT_ITEM = 16
 _FILTER_BITS = 22
 _FOUND = "id long, item_id long, item_shingles long, hits long, row long"
 
@@ -47,52 +48,46 @@ def bin_minima(s: np.ndarray, c: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """The shingles of a block of items, and their bin minima for each partition of documents."""
+    """The sets of a block of items, and the bin minima of each partition of documents with the items that have them."""
 
     def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
-        self.ids, self.sizes = ids, np.array([s.size for s in sets], dtype=np.int64)
-        self.sets = sets
-        self.hashes = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        at = np.searchsorted(self.hashes, np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-        order = np.argsort(at, kind="stable")
-        self.owners = owner[order]  # items of each hash, hash by hash
-        self.starts = np.searchsorted(at[order], np.arange(self.hashes.size + 1))
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        self._probes: dict[int, np.ndarray] = {}
-
-    def probes(self, c: int) -> np.ndarray:
-        """For each hash, whether it is the bin minimum, in partition c, of an item that holds it (sorted hashes)."""
+        self.ids, self.sizes, self.sets = ids, np.array([s.size for s in sets], dtype=np.int64), sets
+        self._probes: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def probes(self, c: int) -> tuple[np.ndarray, ...]:
+        """(distinct probes of partition c, sorted; items probe by probe; each probe's first of them; a filter of the probes' top bits)."""
         if c not in self._probes:
             parts = [s if s.size < SHORT_ITEM else bin_minima(s, c) for s in self.sets]
-            self._probes[c] = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(parts)), [p.size for p in parts])
+            order = np.argsort(flat, kind="stable")
+            hashes, first = np.unique(flat[order], return_index=True)
+            seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
+            seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            self._probes[c] = hashes, owner[order], np.append(first, flat.size), seen
         return self._probes[c]
 
     def search(self, s: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
         """(item number, shared shingles) of the items of which the sorted set s holds percent or more."""
-        maybe = s[self.filter[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
+        c = size_class(s.size)
+        hashes, owners, first, seen = self.probes(c)
+        maybe = s[seen[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
         if not maybe.size:
             return
-        at = np.searchsorted(self.hashes, maybe)
-        at[at == self.hashes.size] = 0
-        known = maybe[self.hashes[at] == maybe]
-        if not known.size:
+        at = np.minimum(np.searchsorted(hashes, maybe), hashes.size - 1)
+        equal = hashes[at] == maybe
+        if not equal.any():
             return
-        c = size_class(s.size)
-        probes = self.probes(c)
-        minima = known if s.size < SHORT_ITEM else np.intersect1d(known, bin_minima(s, c), assume_unique=True)
-        short = self.sizes < SHORT_ITEM
-        candidates = set(self._items(np.intersect1d(minima, probes, assume_unique=True)).tolist())
-        hits = np.bincount(self._items(known), minlength=self.ids.size)
-        candidates.update(np.flatnonzero(short & (hits > 0)).tolist())
+        minimum = np.isin(maybe[equal], bin_minima(s, c), assume_unique=True)
+        candidates = set()
+        for i, least in zip(at[equal], minimum, strict=True):
+            own = owners[first[i] : first[i + 1]]
+            candidates.update((own if least else own[self.sizes[own] < SHORT_ITEM]).tolist())
         for k in sorted(candidates):
-            if 100 * hits[k] >= percent * self.sizes[k]:
-                yield k, int(hits[k])
-
-    def _items(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, hashes)
-        return np.concatenate([self.owners[self.starts[i] : self.starts[i + 1]] for i in at]) if at.size else np.zeros(0, np.int64)
+            place = np.minimum(np.searchsorted(s, self.sets[k]), s.size - 1)
+            hits = int((s[place] == self.sets[k]).sum())
+            if 100 * hits >= percent * self.sizes[k]:
+                yield k, hits
 
 
 def _search(block, percent: int):
@@ -137,6 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: s
     items = cut(items.withColumn("r", F.xxhash64("item_id", "text")))
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total * 5 // (block_shingles * 4)))  # blocks by hash are uneven: a quarter to spare
+    short_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = []
     for k in range(blocks):
