@@ -1,26 +1,25 @@
 """Removal of long repeated byte strings by a column-wise, multi-document construction.
 
-Two equal strings of `length` bytes contain the same least hash of their
-ANCHOR-byte pieces, at the same place. So every window of `length` bytes is
-assigned to that piece, its anchor, and windows can only be equal if their
-anchors are. An anchor that occurs once settles its windows; for the others,
-the text around the anchor (all its windows) is gathered by the anchor's hash,
-each distinct context once.
+Every window of at least `passage` bytes is assigned to the least hash of the
+ANCHOR-byte pieces of its first `passage` bytes, its anchor. Equal windows have
+equal anchors at equal places, so windows can only be equal if their anchors
+are. An anchor that occurs once settles its windows; for the others, the text
+around the anchor (all its windows, of up to `length` bytes) is gathered by the
+anchor's hash, each distinct context once.
 
 The contexts of an anchor are documents aligned at the anchor. Their collection
 transform is built column by column from the right: each round inserts one
 symbol of every document, sorts the documents stably by (anchor, symbol) and
 updates the common prefixes with the neighbour in that order. A window whose
-common prefix with a neighbour reaches `length` occurs elsewhere. The columns
+common prefix with a neighbour reaches `length` occurs elsewhere and is removed;
+one whose prefix reaches `passage` is counted as a shared passage. The columns
 of a batch of documents are written to a sequential file of the shared folder
 first and streamed back one column per round.
 
 An anchor with more contexts than one task should hold (a passage that a large
-share of all documents has, in different surroundings) is split: its windows are
-dealt by the anchor's place in them into cells of some neighbouring places, and
-by the bytes that all windows of the cell have. Equal windows stay together, as
-they have the same place and bytes. Cells get narrower until every group is small
-enough; at one place a cell, a group is one window, so splitting always ends.
+share of all documents has, in different surroundings) is split into its windows:
+each goes by its place and first `passage` bytes, and by all its bytes, and is
+counted; no text moves for that.
 """
 
 from __future__ import annotations
@@ -35,40 +34,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import fresh_path, store_of, stored
+from lakefold.llm.shared import fresh_path, short_batches, store_of, stored
 
 LENGTH = 400
+#: Bytes from which a repeated string counts as a shared passage: fifty short words, about.
+PASSAGE = 256
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Documents (contexts) whose columns are inserted together, about.
 BATCH_ROWS = 4096
 #: Contexts of an anchor that are aligned together; larger groups are split.
-GROUP_ROWS = 2048
-#: Places of the anchor in a cell, split by split.
-CELLS = (32, 4, 1)
+GROUP_ROWS = 16384
+#: Windows of a longer text are assigned to anchors piece by piece.
+PIECE = 4 << 20
 _POSITION_BITS = np.uint64(28)
-_ANCHORS = "id long, th long, h long, ch long, lo int, hi int, at int"
-_PARTS = "h long, ch long, n long, h2 long, ch2 long, skip int, size int, at int"
-_FOUND = "h long, ch long, starts array<int>, ends array<int>"
+_ANCHORS = "id long, th long, h long, ch long, lo int, span int, to int, at int"
+_WINDOWS = "h long, ch long, n long, first long, whole long, skip int, full boolean"
+_FOUND = "h long, ch long, long_string boolean, starts array<int>, ends array<int>"
 
 
-def window_anchors(buf: np.ndarray, offs: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the windows of all rows of a slice: (row, first window, last window, anchor's place, its hash, its context's hash).
+def window_anchors(buf: np.ndarray, offs: np.ndarray, length: int, passage: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the windows of all rows of a slice: (row, first window, windows after it, context's end, anchor's place, its hash, its context's hash).
 
     Places count from the row's first byte. A run of neighbouring windows with
-    one anchor is one entry.
+    one anchor is one entry; its context ends `length` bytes after its last
+    window's start, or with the row.
     """
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    if buf.size < length:
+    none = tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),) * 2
+    if buf.size < passage:
         return none
     sums, q = tk.byte_sums(buf, False)
     n = buf.size - anchor + 1
     place = np.arange(n)
     h = tk.span_hashes(sums, q, place, place + anchor)
     keyed = (h & ~((np.uint64(1) << _POSITION_BITS) - np.uint64(1))) | place.astype(np.uint64)
-    least = _sliding_least(keyed, length - anchor + 1)
+    least = _sliding_least(keyed, passage - anchor + 1)
     row = np.searchsorted(offs, np.arange(least.size), "right") - 1
-    inside = offs[row + 1] - np.arange(least.size) >= length
+    inside = offs[row + 1] - np.arange(least.size) >= passage
     fresh = np.ones(least.size, dtype=bool)
     fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1])
     first = np.flatnonzero(fresh)
@@ -78,9 +80,10 @@ def window_anchors(buf: np.ndarray, offs: np.ndarray, length: int, anchor: int)
     if not first.size:
         return none
     at = (least[first] & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))).astype(np.int64)
-    context = tk.span_hashes(sums, q, first, last + length) + tk.mix((at - first).astype(np.uint64) + np.uint64(1))
+    end = np.minimum(last + length, offs[row[first] + 1])
+    context = tk.span_hashes(sums, q, first, end) + tk.mix((at - first).astype(np.uint64) + np.uint64(1))
     base = offs[row[first]]
-    return row[first], first - base, last - base, at - base, h[at], context
+    return row[first], first - base, last - first, end - base, at - base, h[at], context
 
 
 def _sliding_least(a: np.ndarray, w: int) -> np.ndarray:
@@ -97,15 +100,35 @@ def _sliding_least(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def _anchor_batches(length: int, anchor: int):
+def _pieces(buf: np.ndarray, offs: np.ndarray, length: int, passage: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(first byte, bytes, offsets, first and end of the places at which runs of windows begin that are this piece's) of a slice.
+
+    A single long row comes in pieces that overlap, so that each run of windows
+    is seen whole, with the window before it, in the piece where it begins.
+    """
+    if offs.size > 2 or buf.size <= PIECE:
+        yield 0, buf, offs, 0, buf.size
+        return
+    for at in range(0, buf.size, PIECE):
+        skip = max(0, at - passage)
+        part = buf[skip : at + PIECE + passage + length]
+        yield skip, part, np.array([0, part.size]), at - skip, at - skip + PIECE
+
+
+def _anchor_batches(length: int, passage: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = batch.column("id"), batch.column("th")
             for lo, _, buf, offs in tk.slices(batch.column("text")):
-                row, first, last, at, h, ch = window_anchors(buf, offs, length, anchor)
-                if row.size:
-                    pick = pa.array(row + lo)
-                    yield pa.RecordBatch.from_arrays([ids.take(pick), th.take(pick), pa.array(tk.signed(h)), pa.array(tk.signed(ch)), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], ["id", "th", "h", "ch", "lo", "hi", "at"])
+                for skip, part, bounds, least, end in _pieces(buf, offs, length, passage):
+                    row, first, span, to, at, h, ch = window_anchors(part, bounds, length, passage, anchor)
+                    if part.size < buf.size:
+                        own = (first >= least) & (first < end)
+                        row, first, span, to, at, h, ch = (x[own] for x in (row, first, span, to, at, h, ch))
+                    if row.size:
+                        pick = pa.array(row + lo)
+                        numbers = (pa.array(x.astype(np.int32)) for x in (first + skip, span, to + skip, at + skip))
+                        yield pa.RecordBatch.from_arrays([ids.take(pick), th.take(pick), pa.array(tk.signed(h)), pa.array(tk.signed(ch)), *numbers], ["id", "th", "h", "ch", "lo", "span", "to", "at"])
 
     return run
 
@@ -144,8 +167,8 @@ class ColumnwiseTransform:
         return out
 
 
-def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, length: int, folder: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context, runs (first, last) of window starts (from the context's first byte) that another context of its group has too.
+def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, lengths: tuple[int, ...], folder: str) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each length and context, runs (first, last) of starts (from the context's first byte) of strings that another context of its group has too.
 
     group: ascending numbers; at: the anchor's place in each context; folder:
     where the file of columns is kept meanwhile.
@@ -167,173 +190,168 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], at: np.ndarray, leng
         file.write(np.ascontiguousarray(rows.T[::-1]))
     del rows
     with store.open_input_stream(path) as file:
-        flagged = np.zeros(m, dtype=bool)
-        runs: list[list[int]] = [[] for _ in range(m)]  # first and last of each run, right to left
+        flagged = [np.zeros(m, dtype=bool) for _ in lengths]
+        runs: list[list[list[int]]] = [[[] for _ in range(m)] for _ in lengths]  # first and last of each run, right to left
         for column in range(width - 1, -1, -1):
             symbols = np.frombuffer(file.read(m), dtype=np.uint8)
             transform.insert(symbols, (starts <= column) & (column < stops))
-            now = transform.longest() >= length
-            for i in np.flatnonzero(now != flagged):
-                runs[i].append(column - int(starts[i]) + (0 if now[i] else 1))
-            flagged = now
-        for i in np.flatnonzero(flagged):
-            runs[i].append(-int(starts[i]))
+            longest = transform.longest()
+            for k, length in enumerate(lengths):
+                now = longest >= length
+                for i in np.flatnonzero(now != flagged[k]):
+                    runs[k][i].append(column - int(starts[i]) + (0 if now[i] else 1))
+                flagged[k] = now
+        for k in range(len(lengths)):
+            for i in np.flatnonzero(flagged[k]):
+                runs[k][i].append(-int(starts[i]))
     store.delete_file(path)
-    out = []
-    for r in runs:
-        last, first = np.array(r[::2], dtype=np.int32), np.maximum(np.array(r[1::2], dtype=np.int32), 0)
-        out.append((first, last))
-    return out
+    return [[(np.maximum(np.array(r[1::2], dtype=np.int32), 0), np.array(r[::2], dtype=np.int32)) for r in own] for own in runs]
 
 
-def _transform_batches(length: int, batch_rows: int, folder: str):
-    """mapInArrow function over contexts sorted by h: the runs of repeated windows of each."""
+def _transform_batches(lengths: tuple[int, ...], batch_rows: int, folder: str):
+    """mapInArrow function over contexts sorted by h: the runs of repeated strings of each, by length (the longer first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes]] = []
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             h = np.array([x[0] for x in held], dtype=np.int64)
             group = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
             texts = [x[4] for x in held]
-            found = repeated_windows(group, texts, np.array([x[3] for x in held]), length, folder)
-            first, last = [], []
-            for (a, b), (_, _, n, _, text) in zip(found, held, strict=True):
-                if n > 1:  # the whole context occurs more than once
-                    a, b = np.zeros(1, np.int32), np.array([len(text) - length], np.int32)
-                first.append(a)
-                last.append(b)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array([x[1] for x in held], pa.int64()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))], ["h", "ch", "starts", "ends"])
+            by_length = repeated_windows(group, texts, np.array([x[3] for x in held]), lengths, folder)
+            for k, found in enumerate(by_length):
+                own, first, last = [], [], []
+                for i, ((a, b), (_, _, n, _, text)) in enumerate(zip(found, held, strict=True)):
+                    if n > 1 and len(text) >= lengths[k]:  # the whole context occurs more than once
+                        a, b = np.zeros(1, np.int32), np.array([len(text) - lengths[k]], np.int32)
+                    if a.size:
+                        own.append(i)
+                        first.append(a)
+                        last.append(b)
+                lists = (pa.array(x, pa.list_(pa.int32())) for x in (first, last))
+                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array([held[i][1] for i in own], pa.int64()), pa.array([k == 0] * len(own), pa.bool_()), *lists], ["h", "ch", "long_string", "starts", "ends"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "ch", "n", "at", "context")), strict=True):
                 if held and row[:2] == held[-1][:2]:  # rows of one text with one id give a context twice; n counts them already
                     continue
                 if len(held) >= batch_rows and row[0] != held[-1][0]:
-                    yield out()
+                    yield from out()
                     held = []
                 held.append(row)
         if held:
-            yield out()
+            yield from out()
 
     return run
 
 
-def _split_batches(length: int, width: int):
-    """mapInArrow function over contexts: the parts of each, by cells of `width` places of the anchor."""
+def _window_batches(length: int, passage: int):
+    """mapInArrow function over contexts: each window, with hashes of its place and first `passage` bytes, and of all its bytes; full: it has `length`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in tk.slices(batch.column("context")):
                 own = batch.slice(lo, hi - lo)
-                at = own.column("at").to_numpy().astype(np.int64)
-                least = at - (np.diff(offs) - length)  # the anchor's place in the last window; in the first it is at
-                cells = at // width - least // width + 1
-                row = np.repeat(np.arange(hi - lo), cells)
-                cell = (least // width)[row] + np.arange(row.size) - (np.cumsum(cells) - cells)[row]
-                place, low = at[row], cell * width
-                first = place - np.minimum(place, low + width - 1)
-                last = place - np.maximum(least[row], low)
+                at, span = (own.column(c).to_numpy().astype(np.int64) for c in ("at", "span"))
+                row = np.repeat(np.arange(hi - lo), span + 1)
+                skip = np.arange(row.size) - (np.cumsum(span + 1) - span - 1)[row]
                 sums, q = tk.byte_sums(buf, False)
-                base = offs[row]
-                core = tk.span_hashes(sums, q, base + place - low, base + place - (low + width - 1) + length)
-                h = own.column("h").to_numpy().view(np.uint64)[row]
-                h2 = tk.mix(h ^ tk.mix(core + cell.astype(np.uint64)))
-                ch2 = tk.span_hashes(sums, q, base + first, base + last + length) + tk.mix((place - first).astype(np.uint64) + np.uint64(1))
+                start = offs[row] + skip
+                end = np.minimum(start + length, offs[row + 1])
+                anchor = own.column("h").to_numpy().view(np.uint64)[row] + (at[row] - skip).astype(np.uint64)
+                first = tk.mix(anchor ^ tk.span_hashes(sums, q, start, start + passage))
+                whole = tk.mix(anchor ^ tk.span_hashes(sums, q, start, end))
                 pick = pa.array(row)
-                numbers = (pa.array(x.astype(np.int32)) for x in (first, last - first + length, place - first))
-                yield pa.RecordBatch.from_arrays([*(own.column(c).take(pick) for c in ("h", "ch", "n")), pa.array(tk.signed(h2)), pa.array(tk.signed(ch2)), *numbers], ["h", "ch", "n", "h2", "ch2", "skip", "size", "at"])
-
-    return run
-
-
-def _split_groups(cutouts: DataFrame, length: int, group_rows: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(contexts in groups of at most group_rows, the parts made by each split)."""
-    ready, splits = [], []
-    for width in CELLS:
-        hot = cutouts.where(F.col("m") > group_rows)
-        if not hot.limit(1).count():
-            break
-        ready.append(cutouts.where(F.col("m") <= group_rows))
-        hot = hot.dropDuplicates(["h", "ch"])
-        parts = stored(hot.select("h", "ch", "n", "at", "context").mapInArrow(_split_batches(length, width), _PARTS), "parts")
-        merged = parts.groupBy("h2", "ch2").agg(F.sum("n").alias("n2"), F.min(F.struct("h", "ch", "skip", "size", "at")).alias("r"))
-        repeated = merged.groupBy("h2").agg(F.sum("n2").alias("total"), F.count("*").alias("m2")).where("total > 1").select("h2", "m2")
-        sub = merged.join(repeated, "h2").select("h2", "ch2", "n2", "m2", "r.*").join(hot.select("h", "ch", "context"), ["h", "ch"])
-        bytes_ = F.substring(F.col("context"), F.col("skip") + 1, F.col("size"))
-        cutouts = stored(sub.select("h2", "ch2", "n2", "m2", "at", bytes_).toDF(*cutouts.columns), "contexts")
-        splits.append(parts)
-    for more in ready:
-        cutouts = cutouts.unionByName(more)
-    return cutouts, splits
-
-
-def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int]:
-    """(what is left of text without the spans, number of maximal removed runs)."""
-    order = sorted(zip(starts, ends, strict=True))
-    kept, at, runs = [], 0, 0
-    for k, (lo, hi) in enumerate(order):
-        if k == 0 or lo > at:
-            kept.append(text[at:lo])
-            runs += 1
-        at = max(at, hi)
-    kept.append(text[at:])
-    return b"".join(kept), runs
-
-
-def _removed(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_bytes, n_removed, n_spans, digest, left = [], [], [], [], []
-            spans = batch.column("spans")
-            for i in range(batch.num_rows):
-                raw = batch.column("text")[i].as_buffer()
-                text = raw.to_pybytes() if raw is not None else b""
-                own = spans[i].as_py() or []
-                kept, runs = cut_spans(text, [s["s"] for s in own], [s["e"] for s in own]) if own else (text, 0)
-                n_bytes.append(len(text))
-                n_removed.append(len(text) - len(kept))
-                n_spans.append(runs)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                left.append(kept if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digest, pa.string()), pa.array(left, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([*(own.column(c).take(pick) for c in ("h", "ch", "n")), pa.array(tk.signed(first)), pa.array(tk.signed(whole)), pa.array(skip.astype(np.int32)), pa.array(end - start == length)], ["h", "ch", "n", "first", "whole", "skip", "full"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, batch_rows: int = BATCH_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of docs.
+def _counted_windows(hot: DataFrame, length: int, passage: int) -> DataFrame:
+    """(h, ch, long_string, starts, ends) of contexts: every window that occurs more than once is a run of its own."""
+    windows = stored(hot.mapInArrow(_window_batches(length, passage), _WINDOWS), "parts")
+    whole = windows.groupBy("first", "whole").agg(F.sum("n").alias("times"))
+    first = whole.groupBy("first").agg(F.sum("times").alias("total")).where("total > 1")
+    repeated = stored(whole.join(first, "first").select("first", "whole", "times"), "repeated")
+    met = windows.join(repeated, ["first", "whole"])
+    kinds = F.explode(F.when(F.col("full") & (F.col("times") > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    return met.select("h", "ch", kinds.alias("long_string"), F.col("skip").alias("starts"), F.col("skip").alias("ends"))
+
+
+def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs (first byte, end) of possibly overlapping or touching spans."""
+    runs: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if runs and lo <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], hi))
+        else:
+            runs.append((lo, hi))
+    return runs
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with spans: text, if any, without its long strings; the others pass."""
+    for batch in batches:
+        n = batch.num_rows
+        n_removed, n_spans, n_shared = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        digest, kept = batch.column("digest").to_pylist(), batch.column("text")
+        cut_texts = {}
+        spans = batch.column("spans")
+        for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
+            own = spans[int(i)].as_py()
+            n_shared[i] = sum(hi - lo for lo, hi in covered([(s["s"], s["e"]) for s in own if not s["long_string"]]))
+            runs = covered([(s["s"], s["e"]) for s in own if s["long_string"]])
+            raw = kept[int(i)].as_buffer().to_pybytes()
+            n_removed[i], n_spans[i] = sum(hi - lo for lo, hi in runs), len(runs)
+            left = b"".join(raw[lo:hi] for lo, hi in zip([0, *(hi for _, hi in runs)], [*(lo for lo, _ in runs), len(raw)], strict=True))
+            digest[i] = hashlib.sha256(left).hexdigest()
+            cut_texts[int(i)] = left
+        if cut_texts:
+            kept = pa.array([cut_texts.get(i, t) for i, t in enumerate(kept.to_pylist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array(x) for x in (n_removed, n_spans, n_shared)), pa.array(digest, pa.string()), kept], ["id", "n_bytes", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, anchor: int = ANCHOR, with_text: bool = True, batch_rows: int = BATCH_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row (id, n_bytes, n_removed, n_spans, n_shared, kept_sha256, kept) per row of docs.
 
     Every byte that a string of `length` bytes covers which also starts anywhere
-    else, in this or another row, is removed; kept is the rest (null unless
-    with_text). Null texts are empty; texts shorter than length stay whole. Null
+    else, in this or another row, is removed; kept is the rest (where with_text is
+    false, null for rows that lose nothing). n_shared counts the bytes that
+    repeated strings of `passage` bytes cover, which stay unless they are part of
+    a longer one. Null texts are empty; texts shorter than passage stay whole. Null
     and repeated ids and repeated rows are rows like others: two equal rows of
     length bytes or more are both removed wholly. Other columns are ignored; an
-    empty table gives no rows. anchor must be at most length. group_rows: contexts
+    empty table gives no rows. anchor <= passage <= length. group_rows: contexts
     of one anchor beyond which it is split.
     """
+    short_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    anchors = stored(rows.where(F.octet_length("text") >= length).mapInArrow(_anchor_batches(length, anchor), _ANCHORS), "anchors")
-    contexts = anchors.groupBy("h", "ch").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))), "th", "lo", "hi", "at")).alias("r"))
+    anchors = stored(rows.where(F.octet_length("text") >= passage).mapInArrow(_anchor_batches(length, passage, anchor), _ANCHORS), "anchors")
+    contexts = anchors.groupBy("h", "ch").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))), "th", "lo", "span", "to", "at")).alias("r"))
     repeated = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1").select("h", "m")
-    kept = stored(contexts.join(repeated, "h").select("h", "ch", "n", "m", "r.*").toDF("h", "ch", "n", "m", "rid", "rth", "lo", "hi", "at"), "contexts")
+    kept = stored(contexts.join(repeated, "h").select("h", "ch", "n", "m", "r.*").toDF("h", "ch", "n", "m", "rid", "rth", "lo", "span", "to", "at"), "contexts")
     # an id on several rows of one text: the text is the same
     owners = rows.withColumn("own", F.coalesce("id", F.lit(-(1 << 63)))).join(kept, F.expr("own = rid AND th = rth"))
-    bytes_ = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
-    cutouts = stored(owners.select("h", "ch", "n", "m", (F.col("at") - F.col("lo")).alias("at"), bytes_.alias("context")), "cutouts")
-    cutouts, splits = _split_groups(cutouts, length, group_rows)
-    parts = max(16, -(-cutouts.count() // 10_000))
-    aligned = cutouts.select("h", "ch", "n", "at", "context").repartition(parts, "h").sortWithinPartitions("h", "ch")
-    found = aligned.mapInArrow(_transform_batches(length, batch_rows, fresh_path(docs.sparkSession, "columns")), _FOUND).where(F.size("starts") > 0)
-    found = stored(found, "windows").select("h", "ch", F.explode(F.arrays_zip("starts", "ends")).alias("w")).select("h", "ch", "w.*")
-    for split in reversed(splits):
-        moved = split.join(found.toDF("h2", "ch2", "starts", "ends"), ["h2", "ch2"])
-        found = found.union(moved.select("h", "ch", F.col("starts") + F.col("skip"), F.col("ends") + F.col("skip")))
-    hits = anchors.join(found, ["h", "ch"]).select("id", "th", (F.col("lo") + F.col("starts")).alias("s"), (F.col("lo") + F.col("ends") + length).alias("e")).distinct()
-    spans = hits.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    bytes_ = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("to") - F.col("lo"))
+    cutouts = stored(owners.select("h", "ch", "n", "m", (F.col("at") - F.col("lo")).alias("at"), "span", bytes_.alias("context")), "cutouts")
+    cool = cutouts.where(F.col("m") <= group_rows)
+    parts = max(16, -(-cool.count() // 10_000))
+    aligned = cool.select("h", "ch", "n", "at", "context").repartition(parts, "h").sortWithinPartitions("h", "ch")
+    found = aligned.mapInArrow(_transform_batches((length, passage), batch_rows, fresh_path(docs.sparkSession, "columns")), _FOUND)
+    found = stored(found, "windows").select("h", "ch", "long_string", F.explode(F.arrays_zip("starts", "ends")).alias("w")).select("h", "ch", "long_string", "w.*")
+    hot = cutouts.where(F.col("m") > group_rows)
+    if hot.limit(1).count():
+        hot = hot.dropDuplicates(["h", "ch"]).select("h", "ch", "n", "at", "span", "context")
+        found = found.union(stored(_counted_windows(hot, length, passage), "windows"))
+    size = F.when(F.col("long_string"), length).otherwise(passage)
+    hits = anchors.join(found, ["h", "ch"]).select("id", "th", (F.col("lo") + F.col("starts")).alias("s"), (F.col("lo") + F.col("ends") + size).alias("e"), "long_string").distinct()
+    spans = hits.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e", "long_string")).alias("spans"))
     spans = stored(spans, "spans")
     narrow = spans.toDF("sid", "sth", "spans")
     joined = rows.join(narrow, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.select("id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(_removed(with_text), schema)
+    whole = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    sent = whole if with_text else F.when(F.col("spans").isNotNull(), whole)
+    digest = F.when(F.col("spans").isNull(), F.sha2(whole, 256))
+    schema = "id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept binary"
+    return joined.select("id", sent.alias("text"), F.length(whole).cast("long").alias("n_bytes"), digest.alias("digest"), "spans").mapInArrow(_removed, schema)

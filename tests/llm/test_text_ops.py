@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakefold.llm import decontaminate, lm_scoring, near_dedup, suffix_dedup
@@ -77,6 +78,16 @@ def test_near_duplicates(spark, rows, block):
     assert [r.component_id for r in found if r.id is None] == [None]
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """Its texts tie their groups together, a text without words among them."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = lambda t: t + " and more"
+    own = [(1, a), (2, b), (3, near(a)), (3, near(b)), (3, near(b)), (4, ""), (4, near(c)), (5, c), (6, None), (6, ""), (7, "x")]
+    for block in (4_000_000, 50):
+        got = {(r.id, r.component_id) for r in near_dedup.near_duplicates(frame(spark, own), percent=80, block_shingles=block).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)}
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
@@ -107,6 +118,7 @@ def test_contaminated(spark, rows):
         d = shingles(t)
         want.update((i, k) for k, q in items if k is not None and (s := shingles(q)) and 100 * len(s & d) >= 80 * len(s))
     it = spark.createDataFrame(items, "item_id long, text string")
+    assert any(s < decontaminate.SHORT_ITEM for s in map(len, map(shingles, (q for _, q in items)))) and max(len(shingles(q)) for _, q in items) > decontaminate.SHORT_ITEM
     for block in (1_000_000, 30):
         got = Counter((r.id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), it, block_shingles=block).collect())
         assert got == want
@@ -116,32 +128,54 @@ def test_contaminated(spark, rows):
     assert decontaminate.contaminated(frame(spark, docs), it.limit(0)).count() == 0
 
 
-def without_repeats(rows, length):
-    texts = [(t or "").encode() for _, t in rows]
+def repeated_bytes(texts, length):
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
-    for (i, _), t in zip(rows, texts):
+    for t in texts:
         gone = np.zeros(len(t), dtype=int)
         for p in range(len(t) - length + 1):
             if seen[t[p : p + length]] > 1:
                 gone[p : p + length] = 1
+        out.append(gone)
+    return out
+
+
+def without_repeats(rows, length, passage):
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for (i, _), t, gone, shared in zip(rows, texts, repeated_bytes(texts, length), repeated_bytes(texts, passage)):
         kept = bytes(b for b, g in zip(t, gone) if not g)
         runs = int((np.diff(np.concatenate(([0], gone))) == 1).sum())
-        out.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
+        out.append((i, len(t), int(gone.sum()), runs, int(shared.sum()), hashlib.sha256(kept).hexdigest(), kept))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("batch, group", [(4096, 2048), (40, 5), (40, 1)])
 def test_remove_repeats(spark, rows, batch, group):
-    """With small groups, anchors are split into cells, down to single windows."""
+    """With small groups, anchors are split into single windows."""
     rng = random.Random(3)
     around = [" ".join(rng.choices(WORDS, k=9)) + " one passage that a good share of the documents has, a line of it " * rng.choice([1, 1, 2]) + " ".join(rng.choices(WORDS, k=9)) for _ in range(40)]
     own = rows[:80] + [(900, "ab" * 200), (901, "x" * 70), (902, "x" * 41), (903, around[0]), (903, around[0])] + [(910 + k, t) for k, t in enumerate(around)]
-    got = suffix_dedup.remove_repeats(frame(spark, own), length=40, anchor=8, batch_rows=batch, group_rows=group).collect()
-    assert sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=repr) == without_repeats(own, 40)
+    found = suffix_dedup.remove_repeats(frame(spark, own), length=40, passage=24, anchor=8, batch_rows=batch, group_rows=group).collect()
+    assert sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, r.n_shared, r.kept_sha256, bytes(r.kept)) for r in found), key=repr) == without_repeats(own, 40, 24)
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_anchors_of_a_long_text_in_pieces(monkeypatch):
+    """Pieces give the runs of windows of the whole text, each once and whole."""
+    text = np.frombuffer(" ".join(random.Random(1).choices(WORDS, k=900)).encode(), dtype=np.uint8)
+
+    def runs(piece):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        run = suffix_dedup._anchor_batches(60, 30, 8)
+        batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([8]), pa.array([text.tobytes().decode()])], ["id", "th", "text"])
+        return sorted(tuple(r.values()) for out in run(iter([batch])) for r in out.to_pylist())
+
+    whole = runs(1 << 20)
+    assert sum(r[5] + 1 for r in whole) == text.size - 29
+    assert all(runs(piece) == whole for piece in (100, 200, 331))
+
+
 def test_lm_scores(spark, rows):
     found = lm_scoring.score_texts(frame(spark, rows), block_bytes=5000).collect()
     assert len(found) == len(rows)
@@ -156,16 +190,17 @@ def test_lm_scores(spark, rows):
     assert lm_scoring.score_texts(frame(spark, [])).count() == 0
 
 
-def test_lm_scores_mix_five_bytes_of_context(spark):
-    """Against context trees of depth five, built node by node."""
+@pytest.mark.parametrize("chunk", [1 << 16, 20])
+def test_lm_scores_mix_five_bytes_of_context(spark, chunk):
+    """Against context trees of depth five, built node by node; upper case counts as lower."""
     rng = random.Random(7)
-    own = [(k, " ".join(rng.choices(("green", "grown", "greener", "own", "é"), k=rng.choice((0, 3, 9))))) for k in range(25)] + [(30, None)]
-    found = lm_scoring.score_texts(frame(spark, own), block_bytes=100).collect()
+    own = [(k, " ".join(rng.choices(("green", "Grown", "greener", "OWN", "é", "É"), k=rng.choice((0, 3, 9))))) for k in range(25)] + [(30, None)]
+    found = lm_scoring.score_texts(frame(spark, own), block_bytes=100, chunk=chunk).collect()
     held = {r.id: r.held_out for r in found}
     seen, kids = Counter(), defaultdict(set)
 
     def decisions(text):
-        s = b"\xfe" * 5 + (text or "").encode() + b"\xff"
+        s = b"\xfe" * 5 + (text or "").translate(LOWER).encode() + b"\xff"
         return [(s[p - 5 : p], 1 << k | s[p] >> 8 - k, s[p] >> 7 - k & 1) for p in range(5, len(s)) for k in range(8)]
 
     for context, node, bit in (x for i, t in own if not held[i] for x in decisions(t)):
@@ -197,20 +232,15 @@ def test_lm_scores_mix_five_bytes_of_context(spark):
         assert r.score == pytest.approx(sum(math.log10(chance(*x)) for x in decisions(dict(own)[r.id])), rel=1e-6)
 
 
-def test_symbol_probabilities_sum_to_one():
+def test_symbol_probabilities_sum_to_one(spark):
     """Over all 256 symbols after a context, seen or not."""
     rng = np.random.default_rng(3)
-    seen = rng.integers(0, 1 << 30, 500)
-    seen = np.unique((seen & ~0xFFFF00) | (0x6162 << 8))
-    n = rng.integers(1, 9, seen.size)
-    context = seen[0] >> 8
-    asked = np.unique(np.concatenate((seen, (context << 8) | np.arange(256))))
-    counts = np.zeros(asked.size, dtype=np.int64)
-    counts[np.searchsorted(asked, seen)] = n
-    nodes = lm_scoring._upper_nodes(lm_scoring.pa.table({"key": asked, "n": counts}))
-    top = lm_scoring.Top(*(nodes.column(c).to_numpy() for c in ("c", "u", "n0", "n1", "w")))
-    logs = lm_scoring.string_log10(asked, counts, top)
-    assert (10 ** logs[(asked >> 8) == context]).sum() == pytest.approx(1)
+    seen = np.unique((rng.integers(0, 1 << 30, 500) & ~0xFFFF00) | (0x6162 << 8))
+    context = int(seen[0]) >> 8
+    asked = {int(k): 0 for k in (context << 8) + np.arange(256)} | {int(k): int(n) for k, n in zip(seen, rng.integers(1, 9, seen.size))}
+    found = lm_scoring._string_values(spark.createDataFrame(list(asked.items()), "key long, n long"), 3).collect()
+    assert sorted(r.key for r in found) == sorted(asked)
+    assert sum(10**r.value for r in found if r.key >> 8 == context) == pytest.approx(1)
 
 
 def test_kt_and_lookup():
@@ -222,8 +252,6 @@ def test_kt_and_lookup():
 
 
 def test_slices_of_nulls_and_long_rows():
-    import pyarrow as pa
-
     texts = pa.array(["a" * 50, None, "", "b b", "c"])[1:]
     got = [(lo, hi, bytes(b)) for lo, hi, b, _ in tk.slices(texts, 2)]
     assert b"".join(b for *_, b in got) == b"b bc" and got[-1][1] == 4
