@@ -10,16 +10,23 @@ from lakefold.llm.shared import small, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on this input's labelled rows, scores at 0.7 or more."""
+    """Documents that the quality classifier, fitted on this input's labelled rows, scores at 0.7 or more.
+
+    Null and empty texts score as a text without features. A score of exactly 0.7 stays. Repeated rows score alike, rows
+    with a null id are scored like others, and columns of docs keep their values whatever their names. An empty table gives
+    no rows; without usable labels all scores are 0.5, so nothing stays.
+    """
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score_quality(docs, model, out="__quality")
+    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates (similarity 0.8 or more).
 
     Of rows with equal id and text one stays. Rows without an id, and the further texts of an id, are nodes of their own
-    above all ids, so each group keeps one row, with an id where it has one.
+    above all ids, so each group keeps one row, with an id where it has one. Texts without words, and null texts, are
+    near to none but an equal row. An empty table gives no rows.
     """
     h = F.xxhash64("text")
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), h)).orderBy(h)
@@ -32,17 +39,29 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of every benchmark item's shingles."""
+    """Documents that hold less than 0.8 of every benchmark item's shingles.
+
+    Texts without words and null texts hold nothing and stay; so do all when there are no items. Repeated rows go or stay
+    together. If a row with a null id holds an item, all rows with a null id go. An empty table gives no rows.
+    """
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each copy."""
+    """The documents that the mix takes, once for each copy.
+
+    Null sources are one source. Documents without words are repeated as their source is. Equal keys are ordered by id and
+    size; equal rows get the same number of copies. An empty table gives no rows.
+    """
     return mixing.mixed_rows(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row."""
+    """Shard and slot of each row.
+
+    Equal texts, null ones among themselves, lie in one shard; every row has a slot of its own, whether or not its id is
+    null or repeated. An empty table gives no rows.
+    """
     return sharding.shard_documents(docs).withColumnRenamed("id", "doc_id")
 
 
