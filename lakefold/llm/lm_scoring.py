@@ -1,4 +1,4 @@
-"""LM scoring by context-tree weighting over bytes.
+"""LM scoring by context-tree weighting over bytes, A-Z in lower case.
 
 A symbol (a byte, or the end of the text) is coded by eight binary decisions.
 Each decision has a tree of contexts, the preceding bytes up to ORDER of them;
@@ -6,10 +6,14 @@ every node counts its decisions and gives a Krichevsky-Trofimov estimate, and
 the estimates of all depths on a path are mixed by the context-tree weights that
 the training texts leave behind.
 
-Spark counts strings of ORDER + 1 bytes. The weights are computed bottom-up in
-groups that share the two latest context bytes; the shallower levels, 257
-contexts at most, are joined on the driver. As the model is then fixed, a
-string's code length is one number, computed once for each distinct string.
+Spark counts strings of ORDER + 1 bytes and deals them by the three latest
+context bytes. The two deepest levels are computed in runs of strings that share
+their four latest bytes, at most 256 * 257 of them; the levels above are sums of
+nodes, aggregated level by level, and only the last two (258 contexts at most)
+come to the driver. Going down again, the mixture of the upper levels is linear
+in the deeper ones' probability, so a node of depth three carries three numbers.
+As the model is then fixed, a string's code length is one number, computed once
+for each distinct string.
 
 Texts are scored in blocks of bounded size. A block is written to the shared
 folder, compressed, by the task that counts it and read again by the task that
@@ -22,16 +26,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import pairwise
 from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkernel as tk
-from lakefold.llm.shared import fresh_path, held_out, store_of, stored
+from lakefold.llm.shared import fresh_path, held_out, short_batches, spread, store_of, stored
 
 ORDER = 5
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
@@ -39,16 +42,21 @@ END_WORD = np.uint64(0x6A09E667F3BCC909)
 WORDS, GRAMS = 0, 1
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
+#: Distinct strings whose deepest levels are computed at once, about.
+CHUNK = 1 << 16
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NODES = "s long, u long, n0 double, n1 double, w double"
 _KEYS = "block long, kind int, key long, n long"
 _SCORES = "id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
 
 
 def grams_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of ORDER + 1 bytes ending at each symbol of each row, its end included, and each row's first (n + 1)."""
+    """Strings of ORDER + 1 lower-cased bytes ending at each symbol of each row, its end included, and each row's first (n + 1)."""
     n, extra = offs.size - 1, ORDER + 1
     out = np.full(buf.size + extra * n, PAD, dtype=np.uint8)
     lengths = np.diff(offs)
-    out[np.arange(buf.size) + np.repeat(extra * np.arange(n) + ORDER, lengths)] = buf
+    out[np.arange(buf.size) + np.repeat(extra * np.arange(n) + ORDER, lengths)] = _LOWER.take(buf)
     out[offs[1:] + extra * np.arange(n) + ORDER] = END
     own = out[ORDER:] != PAD
     out = np.concatenate((np.full(7 - ORDER, PAD, dtype=np.uint8), out))  # so that eight bytes end at each symbol
@@ -179,49 +187,124 @@ class Level:
         return (own + 0.5) / (self.n0 + self.n1 + 1.0)[self.number]
 
 
-def _levels(keys: np.ndarray, n: np.ndarray) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
-    """Depths ORDER to 2 of strings that share their two latest context bytes: (levels, ln beta of all but the deepest, ln weighted of the last)."""
-    symbol, context, betas = keys & 0xFF, keys >> 8, []
-    levels = [Level(context & ((1 << 8 * d) - 1), symbol, n) for d in range(ORDER, 1, -1)]
-    weighted = levels[0].estimate
-    for deep, upper in pairwise(levels):
-        parent = np.zeros(deep.keys.size, dtype=np.int64)
-        parent[deep.number] = upper.number
-        below = np.bincount(parent, weighted, upper.keys.size)
-        betas.append(upper.estimate - below)
-        weighted = np.logaddexp(upper.estimate, below) - np.log(2)
-    return levels, betas, weighted
+def _deep(keys: np.ndarray, n: np.ndarray) -> tuple[Level, Level, np.ndarray, np.ndarray]:
+    """Depths ORDER and ORDER - 1 of whole groups of strings with ORDER - 1 latest context bytes in common: (both, the upper one's ln beta and ln weighted)."""
+    symbol, context = keys & 0xFF, keys >> 8
+    deep, upper = (Level(context & ((1 << 8 * d) - 1), symbol, n) for d in (ORDER, ORDER - 1))
+    parent = np.zeros(deep.keys.size, dtype=np.int64)
+    parent[deep.number] = upper.number
+    below = np.bincount(parent, deep.estimate, upper.keys.size)
+    return deep, upper, upper.estimate - below, np.logaddexp(upper.estimate, below) - np.log(2)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows, sorted by o, that never part rows of one o."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held)
+            o = table.column("o").to_numpy()
+            end = int(np.searchsorted(o, o[-1]))
+            if end:
+                yield table.slice(0, end)
+            rest = table.slice(end).combine_chunks()
+            held, size = rest.to_batches(), rest.num_rows
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _third_level(chunk: int):
+    """mapInArrow function: Strings sorted by o -> what the nodes of depth three have of each chunk: counts and the sum of the ln weighted below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, chunk):
+            _, upper, _, weighted = _deep(table.column("key").to_numpy(), table.column("n").to_numpy())
+            keys, to = np.unique(upper.keys & 0xFFFFFFFF, return_inverse=True)
+            sums = (pa.array(np.bincount(to, x, keys.size)) for x in (upper.n0, upper.n1, weighted))
+            yield pa.RecordBatch.from_arrays([pa.array(keys >> 8), pa.array(keys & 0xFF), *sums], ["s", "u", "n0", "n1", "w"])
+
+    return run
+
+
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with w, the sum of the ln weighted below -> with their own ln weighted, their share in the mixture and their estimates of either bit."""
+    for batch in batches:
+        n0, n1, below = (batch.column(c).to_numpy() for c in ("n0", "n1", "w"))
+        estimate = kt_log(n0, n1)
+        share = 1 / (1 + np.exp(-np.clip(estimate - below, -700, 700)))
+        made = (np.logaddexp(estimate, below) - np.log(2), share, (n0 + 0.5) / (n0 + n1 + 1), (n1 + 0.5) / (n0 + n1 + 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s", "u", "n0", "n1")), *map(pa.array, made)], ["s", "u", "n0", "n1", "w", "share", "p0", "p1"])
 
 
-def _upper_nodes(table: pa.Table) -> pa.Table:
-    """What the shallower levels need of one group: counts and ln weighted probability by (latest byte, node)."""
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    levels, _, weighted = _levels(keys, n)
-    upper = levels[-1]
-    return pa.table({"c": pa.array((upper.keys >> 8) & 0xFF), "u": pa.array(upper.keys & 0xFF), "n0": pa.array(upper.n0), "n1": pa.array(upper.n1), "w": pa.array(weighted)})
+_WEIGHTED = f"{_NODES}, share double, p0 double, p1 double"
 
 
 class Top:
-    """Depths 1 and 0, as tables over (latest byte, node) and over nodes."""
+    """Depths 1 and 0 as a linear function of the deeper levels' probability: base0, base1 and factor by (latest byte, node)."""
 
     def __init__(self, c: np.ndarray, u: np.ndarray, n0: np.ndarray, n1: np.ndarray, w: np.ndarray):
-        self.counts = np.zeros((2, 256, 256))
-        below = np.zeros((256, 256))
-        np.add.at(self.counts[0], (c, u), n0)
-        np.add.at(self.counts[1], (c, u), n1)
+        counts, below = np.zeros((2, 256, 256)), np.zeros((256, 256))
+        np.add.at(counts[0], (c, u), n0)
+        np.add.at(counts[1], (c, u), n1)
         np.add.at(below, (c, u), w)
-        estimate = kt_log(*self.counts)
-        self.beta1 = estimate - below
+        estimate = kt_log(*counts)
+        share1 = 1 / (1 + np.exp(-np.clip(estimate - below, -700, 700)))
+        root = counts.sum(axis=1)
         weighted = np.logaddexp(estimate, below) - np.log(2)
-        self.root = self.counts.sum(axis=1)
-        self.beta0 = kt_log(*self.root) - weighted.sum(axis=0)
+        share0 = 1 / (1 + np.exp(-np.clip(kt_log(*root) - weighted.sum(axis=0), -700, 700)))
+        own1, own0 = (counts + 0.5) / (counts.sum(axis=0) + 1), (root + 0.5) / (root.sum(axis=0) + 1)
+        self.base = share0 * own0[:, None, :] + (1 - share0) * share1 * own1
+        self.factor = (1 - share0) * (1 - share1)
 
-    def mixed(self, c: np.ndarray, u: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Depths 1 and 0 mixed over the deeper levels' probability of the bit."""
-        n = self.counts[:, c, u]
-        p = _mix(self.beta1[c, u], (np.where(bit == 1, n[1], n[0]) + 0.5) / (n.sum(axis=0) + 1), deeper)
-        n = self.root[:, u]
-        return _mix(self.beta0[u], (np.where(bit == 1, n[1], n[0]) + 0.5) / (n.sum(axis=0) + 1), p)
+
+def _folded(top_table):
+    """mapInArrow function: nodes of depth three joined to those of depth two -> (o, key, n, b0, b1, f) of all depths up to three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, u = batch.column("s").to_numpy(), batch.column("u").to_numpy()
+            base, factor = top_table.value.base[:, s & 0xFF, u], top_table.value.factor[s & 0xFF, u]
+            for level in ("2", ""):
+                share = batch.column(f"share{level}").to_numpy()
+                base = base + factor * share * np.stack([batch.column(f"p{bit}{level}").to_numpy() for bit in (0, 1)])
+                factor = factor * (1 - share)
+            yield pa.RecordBatch.from_arrays([pa.array(s << 9), pa.array(u), pa.array(np.zeros(s.size, np.int64)), *map(pa.array, (base[0], base[1], factor))], ["o", "key", "n", "b0", "b1", "f"])
+
+    return run
+
+
+def string_log10(keys: np.ndarray, n: np.ndarray, nodes: np.ndarray, base: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """log10 P(symbol | context) of each string, in whole groups of _deep; nodes: those of depth three, sorted, with their linear function."""
+    deep, upper, beta, _ = _deep(keys, n)
+    p = _mix(beta[upper.number], upper.next_bit(), deep.next_bit())
+    at = np.searchsorted(nodes, upper.keys & 0xFFFFFFFF)[upper.number]
+    return np.log10(base[upper.bit, at] + factor[at] * p).reshape(-1, 8).sum(axis=1)
+
+
+def _string_scores(chunk: int):
+    """mapInArrow function: Nodes (o ends in nine zero bits) and strings sorted by o -> (key, value) of the strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # nodes of the last group of three bytes, of which more strings may come
+        for table in _chunks(batches, chunk):
+            o = table.column("o").to_numpy()
+            node = (o & 511) == 0
+            keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+            own = np.stack([table.column(c).to_numpy()[node] for c in ("b0", "b1", "f")])
+            at = ((o[node] >> 9) << 8) | keys[node]
+            order = np.argsort(at)
+            nodes, own = at[order], own[:, order]
+            if carried is not None:
+                nodes, own = np.concatenate((carried[0], nodes)), np.concatenate((carried[1], own), axis=1)
+            last = nodes >> 8 == o[-1] >> 9
+            carried = nodes[last], own[:, last]
+            if not node.all():
+                value = string_log10(keys[~node], n[~node], nodes, own[:2], own[2])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[~node]), pa.array(value)], ["key", "value"])
+
+    return run
 
 
 def _mix(beta: np.ndarray, own: np.ndarray, deeper: np.ndarray) -> np.ndarray:
@@ -229,23 +312,30 @@ def _mix(beta: np.ndarray, own: np.ndarray, deeper: np.ndarray) -> np.ndarray:
     return share * own + (1 - share) * deeper
 
 
-def string_log10(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
-    """log10 P(symbol | context) of each string; the strings share their two latest context bytes."""
-    (deep, *uppers), betas, _ = _levels(keys, n)
-    p = deep.next_bit()
-    for upper, beta in zip(uppers, betas, strict=True):
-        p = _mix(beta[upper.number], upper.next_bit(), p)
-    at = upper.keys[upper.number]
-    p = top.mixed((at >> 8) & 0xFF, at & 0xFF, upper.bit, p)
-    return np.log10(p).reshape(-1, 8).sum(axis=1)
+def _string_values(strings: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """(key, value): log10 P of each of the distinct strings (key, n)."""
+    spark = strings.sparkSession
+    context = F.shiftright("key", 8)
+    place = F.shiftleft(context.bitwiseAND(0xFFFFFF), 9) + 256 + F.shiftright("key", 32).bitwiseAND(0xFF)
+    strings = strings.select(place.alias("o"), "key", "n")
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, F.shiftright("o", 9)).sortWithinPartitions("o")
 
-def _string_scores(top_table):
-    def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        return pa.table({"key": pa.array(keys), "value": pa.array(string_log10(keys, table.column("n").to_numpy(), top_table.value))})
+    def above(nodes: DataFrame, mask: int) -> DataFrame:
+        return nodes.groupBy(F.col("s").bitwiseAND(mask).alias("s"), "u").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w")))
 
-    return run
+    third = dealt(strings).mapInArrow(_third_level(chunk), _NODES)
+    third = stored(above(third, 0xFFFFFF).mapInArrow(_weighted, _WEIGHTED), "nodes")
+    second = stored(above(third, 0xFFFF).mapInArrow(_weighted, _WEIGHTED), "nodes")
+    first = above(second, 0xFF).toArrow()  # 258 * 256 rows at most
+    top = spark.sparkContext.broadcast(Top(*(first.column(c).to_numpy() for c in ("s", "u", "n0", "n1", "w"))))
+    upper = second.select(F.col("s").alias("s2"), "u", F.col("share").alias("share2"), F.col("p0").alias("p02"), F.col("p1").alias("p12"))
+    joined = third.withColumn("s2", F.col("s").bitwiseAND(0xFFFF)).join(upper, ["s2", "u"]).select("s", "u", "share", "p0", "p1", "share2", "p02", "p12")
+    nodes = joined.mapInArrow(_folded(top), "o long, key long, n long, b0 double, b1 double, f double")
+    none = F.lit(0.0)
+    rows = nodes.union(strings.select("o", "key", "n", none, none, none))
+    return dealt(rows).mapInArrow(_string_scores(chunk), "key long, value double")
 
 
 class Lookup:
@@ -316,10 +406,10 @@ def _scores(batch: pa.RecordBatch, grams: Lookup, words: np.ndarray, counts: np.
     return pa.table({"id": batch.column("id"), "held_out": batch.column("held_out"), **{c: pa.array(cols[c]) for c in ("n_bytes", "n_tokens", "n_known", "base", "score")}})
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, mod: int = 7) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, mod: int = 7, chunk: int = CHUNK) -> DataFrame:
     """One row (id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row of docs.
 
-    score is the model's log10 probability of the text's bytes and its end,
+    score is the model's log10 probability of the text's bytes, A-Z in lower case, and its end,
     base_score that of its lower-cased words and an end under counts with one
     added; both learn from the rows that are not held out, the scored row
     included. Null texts are empty; an empty text is its end alone. Null ids are
@@ -327,6 +417,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count and score each; other columns are ignored; an empty table gives no
     rows.
     """
+    short_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, mod).alias("held_out"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -334,18 +425,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.coalesce(max(2 * blocks, docs.sparkSession.sparkContext.defaultParallelism))  # small partitions make one block together
     folder = fresh_path(docs.sparkSession, "texts")
     keys = stored(rows.mapInArrow(_count_blocks(folder, block_bytes), _KEYS), "keys")
-    grams = stored(keys.where(F.col("kind") == GRAMS).groupBy("key").agg(F.sum("n").alias("n")), "strings").withColumn("suffix", F.shiftright("key", 8).bitwiseAND(0xFFFF))
-    nodes = grams.groupBy("suffix").applyInArrow(_upper_nodes, "c long, u long, n0 double, n1 double, w double")
-    nodes = nodes.groupBy("c", "u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toArrow()  # 257 * 256 rows at most
-    top = docs.sparkSession.sparkContext.broadcast(Top(*(nodes.column(c).to_numpy() for c in ("c", "u", "n0", "n1", "w"))))
-    strings = grams.groupBy("suffix").applyInArrow(_string_scores(top), "key long, value double")
-    words = keys.where(F.col("kind") == WORDS)
-    per_word = words.groupBy("key").agg(F.sum("n").alias("c"))
-    tokens, distinct = per_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    everywhere = F.sum("n").over(Window.partitionBy("key"))  # a key has one row in each block
-    found = words.select("block", F.lit(WORDS).alias("kind"), "key", everywhere.cast("double").alias("value"))
-    asked = keys.where(F.col("kind") == GRAMS).select("block", "key").join(strings, "key")
-    found = found.union(asked.select("block", F.lit(GRAMS), "key", "value"))
+    counted = stored(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counted")
+    words = counted.where(F.col("kind") == WORDS)
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    strings = counted.where(F.col("kind") == GRAMS).select("key", "n")
+    values = _string_values(strings, spread(strings, 4 * CHUNK), chunk).select(F.lit(GRAMS).alias("kind"), "key", "value")
+    values = values.union(words.select("kind", "key", F.col("n").cast("double")))
+    found = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     scored = found.groupBy("block").applyInArrow(_score_block(folder), _SCORES)
     base = F.col("base") - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
