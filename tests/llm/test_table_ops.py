@@ -141,8 +141,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [1024, 5])
-def test_embeddings(spark, tile):
+@pytest.mark.parametrize("tile, block", [(1024, 1 << 21), (5, 1 << 21), (5, 16 * 12), (3, 1)])
+def test_embeddings(spark, tile, block):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))
     rows = []
@@ -152,7 +152,7 @@ def test_embeddings(spark, tile):
     rows += [(300 + k, rows[1][1], rows[1][2]) for k in range(30)]
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, [None] + [1.0] * 15, 1), (404, [], 1), (None, rows[1][1], 1), (405, [1.0, 2.0], 1), (406, [2.0, 4.0], 1)]
     df = spark.createDataFrame([(*r, 3, 4) for r in rows], "vec_id long, embedding array<float>, label int, gid int, n int")
-    found = embedding_dedup.embedding_duplicates(df, tile=tile).collect()
+    found = embedding_dedup.embedding_duplicates(df, tile=tile, block_values=block).collect()
     good = [(i, np.array(v, dtype=float), l) for i, v, l in rows if i is not None and v and l is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     links, parent = Counter(), {i: i for i, _, _ in rows if i is not None}
 
