@@ -7,16 +7,20 @@ operator of this library and have DuckDB SQL beside them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakefold.functions import compat, registry as functions
+from lakefold.functions import aggregates, compat, registry as functions
 from lakefold.operators import collections as coll
 from lakefold.operators import persist
-from lakefold.plans import iterative
+from lakefold.plans import iterative, views
+from lakefold.sources import io, records
 from lakefold.sources.io import from_rows, table, with_timestamps
 from lakefold.streaming import replay
 
@@ -79,6 +83,48 @@ def _(spark, d):
     return table(spark, d, "part").where(F.expr("p_size > 5 AND p_size <= 9")).select("p_partkey", F.expr("p_size * 2 + 1").alias("v"))
 
 
+@query("syntax_error_position", "SELECT * FROM (VALUES ('SELECT a FROM (', 1, 15), ('SELECT n_name\nFROM (nation', 2, 12)) t(text, line, pos)")
+def _(spark, d):
+    texts = ("SELECT a FROM (", "SELECT n_name\nFROM (nation")
+    return spark.createDataFrame([(t, *views.syntax_error(spark, t)) for t in texts], "text string, line int, pos int")
+
+
+# --- sources
+
+@query("text_source", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1")
+def _(spark, d):
+    return io.text_lines(spark, io.text_file(table(spark, d, "part"), F.col("p_brand"))).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _csv_lines(spark: SparkSession, d: str, bad: bool) -> str:
+    """Lines of key and size; bad: each tenth is too short, blank, too wide or no number."""
+    line = F.concat_ws(",", "p_partkey", "p_size")
+    broken = F.element_at(F.array(F.lit("7"), F.lit(""), F.concat(line, F.lit(",1")), F.lit("x,y")), (F.col("p_partkey") / 10 % 4).cast("int") + 1)
+    return io.text_file(table(spark, d, "part"), F.when((F.col("p_partkey") % 10 == 0) & F.lit(bad), broken).otherwise(line))
+
+
+@query("csv_strict", "SELECT p_partkey AS k, CAST(p_size AS INTEGER) AS size FROM part")
+def _(spark, d):
+    return io.csv(spark, _csv_lines(spark, d, False), "k long, size int")
+
+
+@query("csv_lenient", "SELECT p_partkey AS k, CAST(p_size AS INTEGER) AS size FROM part WHERE p_partkey % 10 <> 0")
+def _(spark, d):
+    return io.csv(spark, _csv_lines(spark, d, True), "k long, size int", lenient=True)
+
+
+@query("csv_lenient_count", "SELECT count(*) AS n FROM part WHERE p_partkey % 10 <> 0")
+def _(spark, d):
+    return io.csv(spark, _csv_lines(spark, d, True), "k long, size int", lenient=True).agg(F.count("*").alias("n"))
+
+
+@query("custom_source", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1")
+def _(spark, d):
+    records.register(spark)
+    path = io.text_file(table(spark, d, "part"), F.col("p_brand"))
+    return spark.read.format("lakefold_records").option("path", path).option("decoder", "lines").load().groupBy("value").agg(F.count("*").alias("n"))
+
+
 # --- aggregations
 
 @query("group_count", 'SELECT o_orderpriority, count(*) AS "count" FROM orders GROUP BY o_orderpriority')
@@ -113,6 +159,26 @@ def _(spark, d):
     return parts.groupBy("pos").agg(F.round(F.sum(F.col("x").cast("double")), 3).alias("s"))
 
 
+@query("user_aggregate", "SELECT p_brand, round(sqrt(sum(CAST(p_size AS DOUBLE) * p_size) / count(p_size)), 9) AS rms FROM part GROUP BY p_brand")
+def _(spark, d):
+    """Root mean square as start, update, merge and result of a state."""
+    rms = aggregates.Aggregate(
+        start=lambda: (0, 0.0),
+        update=lambda s, x: (s[0] + int(x.count()), s[1] + float((x.astype("float64") ** 2).sum())),
+        merge=lambda s, t: (s[0] + t[0], s[1] + t[1]),
+        result=lambda s: (s[1] / s[0]) ** 0.5 if s[0] else None,
+    )
+    found = aggregates.aggregate(table(spark, d, "part"), ["p_brand"], "p_size", rms, "rms", "double")
+    return found.select("p_brand", F.round("rms", 9).alias("rms"))
+
+
+@query("user_aggregate_sql", "SELECT p_brand, CAST(quantile_disc(p_size, 0.5) AS BIGINT) AS mid FROM part GROUP BY p_brand")
+def _(spark, d):
+    aggregates.register_aggregate(spark, "lower_median", lambda x: int(x.sort_values().iloc[(len(x) - 1) // 2]), "long")
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_brand, lower_median(p_size) AS mid FROM part GROUP BY p_brand")
+
+
 # --- joins
 
 sql("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000")
@@ -153,7 +219,7 @@ _BAND = "CASE WHEN c_acctbal >= 7000 THEN 'high' WHEN c_acctbal >= 3000 THEN 'mi
 @query("group_by_udf", f"SELECT {_BAND} AS band, count(*) AS n FROM customer GROUP BY 1")
 def _(spark, d):
     def band(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: "high" if v >= 7000 else "mid" if v >= 3000 else "low")
+        return pd.Series(np.select([x >= 7000, x >= 3000], ["high", "mid"], "low"))
 
     functions.register_scalar(spark, "acct_band", band, "string")
     table(spark, d, "customer").createOrReplaceTempView("customer")
@@ -162,11 +228,21 @@ def _(spark, d):
 
 @query("udf_two_args", "SELECT p_partkey, p_brand || '-' || CAST(p_size AS VARCHAR) AS tag FROM part")
 def _(spark, d):
-    functions.register_scalar(spark, "tag_of", lambda a, b: f"{a}-{b}", "string", vectorised=False)
+    def tag(a: pd.Series, b: pd.Series) -> pd.Series:
+        return a + "-" + b.astype(str)
+
+    functions.register_scalar(spark, "tag_of", tag, "string")
     table(spark, d, "part").createOrReplaceTempView("part")
     return spark.sql("SELECT p_partkey, tag_of(p_brand, p_size) AS tag FROM part")
 
 
+@query("udf_in_where", "SELECT p_partkey FROM part WHERE p_size % 7 = 3")
+def _(spark, d):
+    functions.register_scalar(spark, "seventh", lambda x: x % 7, "int")
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_partkey FROM part WHERE seventh(p_size) = 3")
+
+
 @query("macro_udf", "SELECT s_suppkey, round(s_acctbal * 2 + 1, 2) AS v FROM supplier")
 def _(spark, d):
     functions.register_sql(spark, "twice_and", "x DOUBLE, y DOUBLE", "DOUBLE", "x * 2 + y")
@@ -187,6 +263,30 @@ def _(spark, d):
     return spark.table("dear_orders")
 
 
+@query("view_lifecycle", "SELECT * FROM (VALUES ('create again', 'TEMP_TABLE_OR_VIEW_ALREADY_EXISTS'), ('drop', 'true'), ('drop again', 'false'), ('after drop', 'TABLE_OR_VIEW_NOT_FOUND'), ('replace', '25')) t(step, outcome)")
+def _(spark, d):
+    nations, steps = table(spark, d, "nation"), []
+    views.create_view(nations.limit(0), "lf_nations")
+    try:
+        views.create_view(nations, "lf_nations", replace=False)
+    except AnalysisException as e:
+        steps.append(("create again", e.getCondition()))
+    views.create_view(nations, "lf_nations")
+    steps.append(("replace", str(spark.table("lf_nations").count())))
+    steps += [(step, str(views.drop_view(spark, "lf_nations")).lower()) for step in ("drop", "drop again")]
+    steps.append(("after drop", views.resolution_error(spark, "SELECT * FROM lf_nations")))
+    return spark.createDataFrame(steps, "step string, outcome string")
+
+
+@query("resolution_errors", "SELECT * FROM (VALUES ('AMBIGUOUS_REFERENCE'), ('UNRESOLVED_COLUMN.WITH_SUGGESTION'), ('UNRESOLVED_COLUMN.WITH_SUGGESTION')) t(condition)")
+def _(spark, d):
+    """An ambiguous column, an unknown one and an unknown qualifier."""
+    table(spark, d, "nation").createOrReplaceTempView("nation")
+    joined = "FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey"
+    found = [views.resolution_error(spark, f"SELECT {c} {joined}") for c in ("n_name", "nope", "c.n_name")]
+    return spark.createDataFrame([(x,) for x in found], "condition string")
+
+
 # --- collections
 
 @query("word_count", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
@@ -212,10 +312,11 @@ def _(spark, d):
 
 @query("reduce_total", "SELECT CAST(sum(p_size) AS BIGINT) AS total, count(*) AS n FROM part")
 def _(spark, d):
-    return table(spark, d, "part").agg(F.sum("p_size").alias("total"), F.count("*").alias("n"))
+    part = table(spark, d, "part")
+    return spark.createDataFrame([(coll.total(part, "p_size"), part.count())], "total long, n long")
 
 
-@query("partition_counts")
+@query("partition_counts", "SELECT CAST(part AS INTEGER) AS part, CAST(n AS BIGINT) AS n FROM (VALUES (0, 9), (1, 8), (2, 8)) t(part, n)")
 def _(spark, d):
     """Rows of each of three partitions of a local list: 9 and 8 and 8 of 25."""
     rows = from_rows(spark, [(i,) for i in range(25)], "i int", 3)
@@ -232,11 +333,13 @@ def _(spark, d):
     return persist.checkpointed(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))).where("n > 5")
 
 
-@query("cache_levels", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+@query("cache_levels", "SELECT level, o_orderstatus, count(*) AS n FROM orders, (VALUES ('MEMORY_ONLY'), ('DISK_ONLY'), ('MEMORY_AND_DISK'), ('NONE')) t(level) GROUP BY 1, 2")
 def _(spark, d):
-    with persist.cached(table(spark, d, "orders").select("o_orderstatus"), "MEMORY_AND_DISK") as kept:
-        counts = persist.checkpointed(kept.groupBy("o_orderstatus").agg(F.count("*").alias("n")))
-    return counts
+    found = []
+    for level in persist.LEVELS:
+        with persist.cached(table(spark, d, "orders").select("o_orderstatus"), level) as kept:
+            found.append(persist.checkpointed(kept.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))))
+    return coll.union_bag(*found)
 
 
 # --- streaming
@@ -254,12 +357,17 @@ _BY_TYPE = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
 
 @query("stream_complete", _BY_TYPE)
 def _(spark, d):
-    return replay.run_to_table(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "complete", "lf_complete")
+    return replay.run(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "complete", name="lf_complete")
+
+
+@query("stream_memory_sink", _BY_TYPE)
+def _(spark, d):
+    return replay.to_memory(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "complete", f"lf_memory_{uuid.uuid4().hex}")
 
 
 @query("stream_update_final", _BY_TYPE)
 def _(spark, d):
-    return replay.updates(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), ["event_type"])
+    return replay.run(_replayed(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "update", ["event_type"])
 
 
 @query("stream_append_per_batch", "SELECT CAST(event_id % 3 AS BIGINT) AS b, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -267,56 +375,117 @@ def _(spark, d):
     return replay.each_batch(_replayed(spark, d), lambda df, k: df.groupBy((F.col("event_id") % 3).alias("b"), "event_type").agg(F.count("*").alias("n")))
 
 
+@query("stream_empty_batches", "SELECT CAST(b AS BIGINT) AS b, CAST(0 AS BIGINT) AS n FROM (VALUES (0), (1), (2)) t(b)")
+def _(spark, d):
+    """Batches of which nothing is left still come, and are counted as empty."""
+    nothing = _replayed(spark, d).where("value < -1000000")
+    return replay.each_batch(nothing, lambda df, k: df.agg(F.count("*").alias("n")).withColumn("b", F.lit(k).cast("long")))
+
+
+@query("stream_handle", "SELECT 3 AS batches, false AS stopped_before, true AS stopped_after, CAST(sum(n) AS BIGINT) AS rows_ FROM (SELECT count(*) AS n FROM events)")
+def _(spark, d):
+    running = replay.start(_replayed(spark, d), lambda df, k: df.count())
+    running.process_all()
+    before, batches, rows = running.stopped(), running.batches(), sum(running.rows())
+    running.stop()
+    return spark.createDataFrame([(batches, before, running.stopped(), rows)], "batches int, stopped_before boolean, stopped_after boolean, rows_ long")
+
+
 @query("stream_map_filter_flatmap", "SELECT event_id, unnest(string_split(event_type, 'c')) AS piece FROM events WHERE value > 50")
 def _(spark, d):
-    return replay.run_to_table(_replayed(spark, d).where("value > 50").select("event_id", F.explode(F.split("event_type", "c")).alias("piece")), "append", "lf_pieces")
+    return replay.run(_replayed(spark, d).where("value > 50").select("event_id", F.explode(F.split("event_type", "c")).alias("piece")), "append")
 
 
 @query("stream_sql_view", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def _(spark, d):
     _replayed(spark, d).createOrReplaceTempView("lf_event_stream")
-    return replay.run_to_table(spark.sql("SELECT user_id, count(*) AS n FROM lf_event_stream WHERE event_type = 'purchase' GROUP BY user_id"), "complete", "lf_sql")
+    return replay.run(spark.sql("SELECT user_id, count(*) AS n FROM lf_event_stream WHERE event_type = 'purchase' GROUP BY user_id"), "complete")
 
 
 @query("stream_static_join", "SELECT event_id, n_name FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE event_type = 'error'")
 def _(spark, d):
     joined = _replayed(spark, d).where("event_type = 'error'").join(table(spark, d, "nation"), F.expr("user_id % 25 = n_nationkey"))
-    return replay.run_to_table(joined.select("event_id", "n_name"), "append", "lf_joined")
+    return replay.run(joined.select("event_id", "n_name"), "append")
+
+
+#: Periods of eight days, four in the month of the events.
+_PERIOD = "(datediff(ts, DATE '2024-01-01') div 8)"
+
+
+def _by_period(spark: SparkSession, d: str, late: str = "0") -> DataFrame:
+    """Events in the order of time, a period a batch; late: periods by which a row comes later."""
+    return replay.staged(_events(spark, d), F.expr(f"least(3, {_PERIOD} + {late})"), 4)
+
+
+@query(
+    "stream_stream_join",
+    "SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'",
+)
+def _(spark, d):
+    """Both sides are streams; watermarks and the time range bound the rows that either has to remember."""
+    c = _by_period(spark, d).where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("cu"), F.col("ts").alias("ct")).withWatermark("ct", "1 hour")
+    p = _by_period(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("pu"), F.col("ts").alias("pt")).withWatermark("pt", "1 hour")
+    return replay.run(c.join(p, F.expr("cu = pu AND pt >= ct AND pt <= ct + INTERVAL 6 HOURS")).select("click", "purchase"), "append")
 
 
-@query("event_window_watermark", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query(
+    "event_window_watermark",
+    """WITH e AS (SELECT event_type, ts, time_bucket(INTERVAL 1 HOUR, ts) AS start_, least(3, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 + CASE WHEN event_id % 20 = 7 THEN 2 ELSE 0 END) AS b FROM events),
+    m AS (SELECT b, max(ts) AS top FROM e GROUP BY b),
+    w AS (SELECT k.b, (SELECT max(top) - INTERVAL 1 DAY FROM m WHERE m.b < k.b - 1) AS mark FROM m k)
+    SELECT start_, event_type, count(*) AS n FROM e JOIN w USING (b)
+    WHERE (mark IS NULL OR start_ + INTERVAL 1 HOUR > mark) AND start_ + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM e) GROUP BY 1, 2""",
+)
 def _(spark, d):
-    """Extension: hourly event-time windows over one replayed batch, complete mode."""
-    stream = replay.staged(_events(spark, d), F.lit(0), 1).withWatermark("ts", "1 hour")
+    """Extension: hourly windows in append mode over four batches. Each twentieth event comes two batches late, and most of
+    those are dropped; windows come out once the watermark, a day behind, has passed them, and their state goes."""
+    stream = _by_period(spark, d, "IF(event_id % 20 = 7, 2, 0)").withWatermark("ts", "1 day")
     counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    done = replay.run_to_table(counts, "complete", "lf_windows")
-    return done.select(F.col("w.start").cast("timestamp_ntz").alias("start_"), "event_type", "n")
+    return replay.run(counts, "append").select(F.col("w.start").cast("timestamp_ntz").alias("start_"), "event_type", "n")
 
 
-_BATCHED = "(SELECT event_id // 1000 AS b, event_type FROM events)"
+_BATCHED = "(SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 AS b, event_type FROM events)"
 
 
-@query("batch_window_counts", f"SELECT t AS window_end, event_type, count(*) AS n FROM {_BATCHED} e, (SELECT unnest(range(0, 100000)) AS t) w WHERE t >= b AND t < b + 3 GROUP BY 1, 2")
+@query("batch_window_counts", f"SELECT t AS window_end, event_type, count(*) AS n FROM {_BATCHED} e, (SELECT unnest(range(0, 6)) AS t) w WHERE t >= b AND t < b + 3 GROUP BY 1, 2")
 def _(spark, d):
-    numbered = table(spark, d, "events").withColumn("b", F.expr("event_id div 1000"))
-    return replay.batch_windows(numbered, "b", 3).groupBy("window_end", "event_type").agg(F.count("*").alias("n"))
+    """Windows of three batches at six ticks of the clock, two of them after the input's end."""
+    return replay.batch_windows(_by_period(spark, d), 3, 6, lambda w: w.groupBy("event_type").agg(F.count("*").alias("n")))
 
 
-@query("batch_window_slide", f"SELECT t AS window_end, count(*) AS n FROM {_BATCHED} e, (SELECT unnest(range(0, 100000)) AS t) w WHERE t >= b AND t < b + 4 AND t % 2 = 0 GROUP BY 1")
+@query("batch_window_slide", f"SELECT t AS window_end, count(*) AS n FROM {_BATCHED} e, (SELECT unnest(range(0, 6)) AS t) w WHERE t >= b AND t < b + 4 AND t % 2 = 0 GROUP BY 1")
 def _(spark, d):
-    numbered = table(spark, d, "events").withColumn("b", F.expr("event_id div 1000"))
-    return replay.batch_windows(numbered, "b", 4, 2).groupBy("window_end").agg(F.count("*").alias("n"))
+    return replay.batch_windows(_by_period(spark, d), 4, 6, lambda w: w.agg(F.count("*").alias("n")), slide=2)
+
+
+def _queued(spark: SparkSession, d: str, one_at_a_time: bool) -> DataFrame:
+    """Rows of each of four ticks of a queue of four frames."""
+    events = table(spark, d, "events")
+    queue = replay.Queue([events.where(F.col("event_id") % 4 == k) for k in range(4)], one_at_a_time)
+    return coll.union_bag(*[queue.tick().agg(F.count("*").alias("n")).withColumn("tick", F.lit(t).cast("long")) for t in range(4)])
 
 
 @query("queue_reemit", "SELECT t AS tick, count(*) AS n FROM events, (SELECT unnest(range(0, 4)) AS t) GROUP BY 1")
 def _(spark, d):
-    return replay.queue_batches(table(spark, d, "events"), 4, False, "event_id").groupBy("tick").agg(F.count("*").alias("n"))
+    return _queued(spark, d, False)
 
 
 @query("queue_one_at_a_time", "SELECT event_id % 4 AS tick, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
-    numbered = table(spark, d, "events").withColumn("b", F.col("event_id") % 4)
-    return replay.queue_batches(numbered, 4, True, "b").groupBy("tick").agg(F.count("*").alias("n"))
+    return _queued(spark, d, True)
+
+
+@query("custom_source_stream", "SELECT n_name AS value, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def _(spark, d):
+    """A stream of one's own source: a file a trigger, decoded to lines."""
+    records.register(spark)
+    path = io.text_file(table(spark, d, "nation").repartition(3), F.concat_ws(",", "n_name", "n_regionkey"))
+    lines = spark.readStream.format("lakefold_records").option("path", path).load()
+    out = fresh = persist.fresh_path(spark, "decoded")
+    running = replay.start(lines.select(F.split("value", ",").alias("p")), lambda df, k: df.write.mode("overwrite").parquet(f"{fresh}/{k:09d}"))
+    running.process_all()
+    running.stop()
+    return spark.read.parquet(f"{out}/*").select(F.col("p")[0].alias("value"), F.col("p")[1].cast("long").alias("region"))
 
 
 # --- iterative algorithms
@@ -354,6 +523,26 @@ def _(spark, d):
     return spark.createDataFrame([(round(m.loss(data, "y"), 6),)], "loss double")
 
 
+_LINES = "SELECT n_chars / 10000.0::DOUBLE AS x, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)"
+
+
+def _line_rounds() -> str:
+    steps = [f"p AS ({_LINES})", "w0 AS (SELECT 0.0::DOUBLE AS w)"]
+    for k in range(3):
+        steps.append(f"w{k + 1} AS (SELECT any_value(w) - 0.1 * sum((1 / (1 + exp(-x * w)) - y) * x) / count(*) AS w FROM p, w{k})")
+    rounds = " UNION ALL ".join(f"SELECT {k} AS round, w FROM w{k}" for k in (1, 2, 3))
+    return "WITH " + ", ".join(steps) + f" SELECT round, keep, round(w, 9) AS w FROM ({rounds}) r, (VALUES (true), (false)) t(keep)"
+
+
+@query("line_descent", _line_rounds())
+def _(spark, d):
+    """Three rounds of descent over a text file, with its lines cached and not."""
+    points = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    lines = io.text_lines(spark, io.text_file(points, F.concat_ws(",", (F.col("n_chars") / 10000.0).cast("string"), F.col("quality").cast("double").cast("string"))))
+    found = [(k + 1, keep, round(w, 9)) for keep in (True, False) for k, w in enumerate(iterative.line_descent(lines, keep=keep))]
+    return spark.createDataFrame(found, "round int, keep boolean, w double")
+
+
 _EDGES = "SELECT DISTINCT 'n' || CAST(s_nationkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst FROM supplier, customer WHERE s_suppkey = c_custkey AND s_nationkey <> c_nationkey"
 
 
@@ -374,6 +563,13 @@ def _(spark, d):
     return iterative.page_rank(edges, iterations=5, tolerance=0.0, normalise=False).select("page", F.round("rank", 9).alias("rank"))
 
 
+@query("logreg_tolerance", "SELECT 2 AS rounds")
+def _(spark, d):
+    """A tolerance that the first round meets at once: the change is looked at from the second round on."""
+    m = iterative.LogisticRegression(0.5, 50, 1e9).fit(_labelled(spark, d), ["f0", "f1"], "y")
+    return spark.createDataFrame([(m.rounds,)], "rounds int")
+
+
 # --- the same two run with their defaults, to convergence or their last round; unrolled SQL of 50 rounds is too slow
 
 
