@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakefold.llm.shared import cut, fresh_path, small, store_of, uri_of
@@ -38,13 +38,21 @@ def record_id(page_id: int | None, payload_sha1: str, copy: int = 0) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{payload_sha1}/{copy}')}>"
 
 
-def _header(page_id, url, sha1: str, length: int, response: int | None, full: int) -> bytes:
-    own = record_id(page_id, sha1)
-    digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
+def _digest(sha1: str) -> str:
+    return "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
+
+
+def _hex(digest: str | None) -> str | None:
+    return base64.b32decode(digest[5:]).hex() if digest and digest.startswith("sha1:") else None
+
+
+def _header(page_id, url, sha1: str, length: int, response: int | None, full: int, copy: int) -> bytes:
+    own = record_id(page_id, sha1, copy)
+    block = sha1 if response is None else hashlib.sha1().hexdigest()
     lines = ["WARC/1.1", f"WARC-Type: {'response' if response is None else 'revisit'}", f"WARC-Record-ID: {own}", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " else "%%%02X" % ord(c) for c in url))
-    lines.append(f"WARC-Payload-Digest: {digest}")
+    lines += [f"WARC-Payload-Digest: {_digest(sha1)}", f"WARC-Block-Digest: {_digest(block)}"]
     if response is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(response, sha1)}", f"X-Refers-To-Page: {response}", f"X-Payload-Length: {full}"]
     if page_id is not None:
@@ -66,7 +74,7 @@ def _writer(folder: str, level: int):
         out = None
         for batch in batches:
             for row in range(batch.num_rows):
-                page, url, response = (batch.column(c)[row].as_py() for c in ("page_id", "url", "response_id"))
+                page, url, response, copy = (batch.column(c)[row].as_py() for c in ("page_id", "url", "response_id", "copy"))
                 raw = batch.column("html")[row].as_buffer()  # a view, not a copy
                 view = memoryview(raw) if raw is not None else memoryview(b"")
                 sha = hashlib.sha1()
@@ -76,7 +84,7 @@ def _writer(folder: str, level: int):
                 if out is None:
                     out = store.open_output_stream(part)
                 gz = zlib.compressobj(level, zlib.DEFLATED, 31)
-                size += out.write(gz.compress(_header(page, url, sha.hexdigest(), len(body), response, len(view)))) or 0
+                size += out.write(gz.compress(_header(page, url, sha.hexdigest(), len(body), response, len(view), copy))) or 0
                 for k in range(0, len(body), CHUNK):
                     if piece := gz.compress(body[k : k + CHUNK]):
                         out.write(piece)
@@ -92,12 +100,14 @@ def _writer(folder: str, level: int):
 
 
 def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """Writes (page_id, url, html, response_id) as archives, one a task, and returns the manifest (path, records, bytes).
+    """Writes (page_id, url, html, response_id, copy) as archives, one a task, and returns the manifest (path, records, bytes).
 
     response_id null: a response record with the payload; else a revisit of that
-    page, without payload. A null html is an empty payload.
+    page, without payload. A null html is an empty payload. copy tells rows of
+    one page and payload apart, whose records would have one id otherwise; a
+    revisit refers to copy 0.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"), F.col("response_id").cast("long"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"), F.col("response_id").cast("long"), F.col("copy").cast("long"))
     return cut(rows.mapInArrow(_writer(uri_of(folder), level), _MANIFEST))
 
 
@@ -183,10 +193,8 @@ def _reader(with_bytes: bool):
                 with store.open_input_stream(at, compression=None) as raw:
                     for h, k, piece, seen, digest, last in read_chunks_of(raw):
                         record += k == 0
-                        stated = h.get("warc-payload-digest", "")
-                        stated = base64.b32decode(stated[5:]).hex() if stated.startswith("sha1:") else None
                         page = h.get("x-page-id")
-                        rows.append((path, record, h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-refers-to"), int(page) if page is not None else None, None, stated, k, len(piece), seen, digest, last, piece if with_bytes else None))
+                        rows.append((path, record, h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-refers-to"), int(page) if page is not None else None, _hex(h.get("warc-block-digest")), _hex(h.get("warc-payload-digest")), k, len(piece), seen, digest, last, piece if with_bytes else None))
                         held += len(piece) if with_bytes else 64
                         if held > 64 * CHUNK or len(rows) >= 4096:
                             yield out()
@@ -211,6 +219,21 @@ def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return own.join(largest, ["sha1", "n"]).where("page_id IS NULL OR page_id <> response_id").where("response_id IS NOT NULL").select("page_id", "sha1", "response_id").distinct()
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """(page_id, url, html, sha1) with copy: rows of one page and payload are numbered from 0. Equal rows are counted first and made again."""
+    several = cut(rows.groupBy("page_id", "sha1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("p"), F.col("sha1").alias("s")))
+    if not several.limit(1).count():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    few = small(several, 60)
+    of = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s"))
+    counted = cut(rows.join(few, of, "left_semi").groupBy("page_id", "url", "html", "sha1").agg(F.count("*").alias("n")))
+    before = Window.partitionBy("page_id", "sha1").orderBy("url", F.col("html").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    made = counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    made = made.select("page_id", "url", "html", "sha1", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("copy"))
+    made = made.repartition(F.xxhash64("copy", "page_id"))  # a page that occurs very often is written by many tasks
+    return rows.join(few, of, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(made)
+
+
 def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes one record per page and reads the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
@@ -218,20 +241,23 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str
     largest page_id is a response and the others revisit it; others are all
     responses. Null payloads are empty. Rows with a null page_id are revisits of
     an equal payload that has an id, else responses; repeated rows of the largest
-    page_id are all responses. Other columns are ignored; an empty table gives no
-    rows. A digest that differs from the header's raises.
+    page_id are all responses; every record has an id of its own. Other columns
+    are ignored; an empty table gives no rows. A block whose digest differs from
+    the header's raises, and so does a revisit of another payload.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     again = small(cut(revisits(own, least_bytes)), 120).toDF("p", "s", "response_id")
     sha1 = F.sha1(F.coalesce(F.col("html").cast("binary"), F.lit(b"")))
-    rows = own.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (sha1 == F.col("s")), "left")
-    chunks = read_archives(spark, write_archives(rows.select("page_id", "url", "html", "response_id"), folder), with_bytes=False)
-    ends = cut(chunks.where("last").select("page_id", "record_id", "record_type", "refers_to", "running_bytes", "running_digest", "payload_digest"))
-    checked = F.when((F.col("record_type") == "revisit") | (F.col("running_digest") == F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload's digest differs from its header")))
-    ends = ends.withColumn("payload_digest", checked)
-    answers = ends.where("record_type = 'response'").groupBy(F.col("record_id").alias("r")).agg(F.max("page_id").alias("response_page"), F.max("running_bytes").alias("full"))
+    own = numbered_copies(own.withColumn("sha1", sha1))
+    rows = own.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
+    chunks = read_archives(spark, write_archives(rows.select("page_id", "url", "html", "response_id", "copy"), folder), with_bytes=False)
+    ends = chunks.where("last").select("page_id", "record_id", "record_type", "refers_to", "running_bytes", "running_digest", "payload_digest", "block_digest")
+    same = F.col("running_digest") == F.col("block_digest")
+    ends = cut(ends.withColumn("payload_digest", F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a block's digest differs from its header")))))
+    answers = ends.where("record_type = 'response'").select(F.col("record_id").alias("r"), F.col("page_id").alias("response_page"), F.col("running_bytes").alias("full"), F.col("payload_digest").alias("answered"))
     first = ends.where("record_type = 'response'").select("page_id", F.col("running_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    back = ends.where("record_type = 'revisit'").join(answers, F.col("refers_to") == F.col("r")).select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", F.col("response_page").alias("refers_to"))
+    digest = F.when(F.col("answered") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit's payload is not that of its response")))
+    back = ends.where("record_type = 'revisit'").join(answers, F.col("refers_to") == F.col("r")).select("page_id", F.col("full").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("response_page").alias("refers_to"))
     return first.union(back)

@@ -131,8 +131,13 @@ def test_warc_round_trip(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     from pyspark.sql import functions as F
 
-    manifest = warc.write_archives(pages.withColumn("response_id", F.lit(None).cast("long")), folder)
+    own = pages.withColumn("sha1", F.sha1(F.coalesce(F.col("html").cast("binary"), F.lit(b""))))
+    copies = warc.numbered_copies(own.union(own.where("page_id = 4")))
+    manifest = warc.write_archives(copies.withColumn("response_id", F.lit(None).cast("long")), folder)
     chunks = warc.read_archives(spark, manifest).collect()
+    assert len({c.record_id for c in chunks}) == len(rows) + 1
+    assert all(c.running_digest == c.block_digest == c.payload_digest for c in chunks if c.last)
+    chunks = [c for c in chunks if c.record_id != warc.record_id(4, hashlib.sha1(b"x" * 999).hexdigest(), 1)]
     assert max(c.chunk_bytes for c in chunks) <= warc.CHUNK and sum(c.last for c in chunks) == len(rows)
     parts = defaultdict(dict)
     for c in chunks:
