@@ -432,6 +432,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     values = _string_values(strings, spread(strings, 4 * CHUNK), chunk).select(F.lit(GRAMS).alias("kind"), "key", "value")
     values = values.union(words.select("kind", "key", F.col("n").cast("double")))
     found = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    found = found.repartition(max(16, 2 * blocks), "block")  # a task has a block or two, however many there are
     scored = found.groupBy("block").applyInArrow(_score_block(folder), _SCORES)
     base = F.col("base") - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
