@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each document gets a hash-random key. Within its source, documents are taken in
+Each document gets a hash-random key, the first 60 bits of an MD5. Within its source, documents are taken in
 the order of their keys; the words before a document are a distributed prefix
 sum: sums of buckets of the key's range, a running sum over the buckets, and a
 running sum within each bucket. A source is cut at its exact budget of words:
@@ -17,6 +17,13 @@ from lakefold.llm.shared import WORD, cut, small
 #: Documents of a bucket, about; buckets are a power of two, so that a key's top bits name one.
 BUCKET_ROWS = 4096
 SEED = 17
+KEY_BITS = 60
+
+
+def key_of(id_col: str, text_col: str) -> Column:
+    """A number of KEY_BITS bits that depends on id and text alone; nulls are like empty ones."""
+    said = F.concat_ws("/", F.lit(str(SEED)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(said), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def words_of(text: str) -> Column:
@@ -31,7 +38,8 @@ def capped_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     capped in the order of weight / size, largest first: when the sources before
     are capped, one whose share of what is left passes its cap is capped too. As
     the share of the others only grows by a cap, that order finds the same
-    sources as resharing the excess again and again.
+    sources as resharing the excess again and again. Sources, which are few, are
+    ordered in one task.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
@@ -67,10 +75,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """mix_sources with copies: the whole copies that come nearest to taken, for a row without words its source's epochs and one more before the cut."""
     keyed = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), text_col).alias("key"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), key_of(id_col, text_col).alias("key"))
     )
     bits = max(1, (-(-keyed.count() // bucket_rows)).bit_length())
-    keyed = keyed.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
+    keyed = keyed.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut(sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))))
@@ -98,6 +106,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     found = _mixed(docs, **options)
     times = found.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.max("copies").alias("__times")).where("__times > 0")
     times = small(cut(times), 40)
-    key = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), text_col)
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")))
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (key_of(id_col, text_col) == F.col("__key")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])

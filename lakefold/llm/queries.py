@@ -90,6 +90,30 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT item_id, count(*) AS item_shingles FROM q GROUP BY item_id)
         SELECT doc_id, item_id, item_shingles, count(*) AS hits, count(*)::DOUBLE / item_shingles AS containment
         FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles""",
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE s AS ({_shingled("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        k AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+        l AS (SELECT x AS a, y AS b FROM k UNION ALL SELECT y, x FROM k),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS lo FROM r GROUP BY a)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(lo, doc_id)) AS component_id, doc_id <= coalesce(lo, doc_id) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id""",
+    "op3_mixing_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+            CAST('0x' || substr(md5('17/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CAST([1, 2, 3][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS DOUBLE) AS w FROM s),
+        o AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (down ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+            sum(w) OVER (down ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest, row_number() OVER down AS n
+            FROM w WHERE source_size > 0 WINDOW down AS (ORDER BY w / source_size DESC, source IS NULL, source)),
+        f AS (SELECT n, rest, w_rest FROM o WHERE w * rest / w_rest <= 3 * source_size ORDER BY n LIMIT 1),
+        t AS (SELECT w.source, w.source_size, CASE WHEN w.source_size = 0 THEN 0.0::DOUBLE WHEN f.n IS NULL OR o.n < f.n THEN 3 * CAST(w.source_size AS DOUBLE) ELSE w.w * f.rest / f.w_rest END AS target
+            FROM w LEFT JOIN o ON w.source IS NOT DISTINCT FROM o.source LEFT JOIN f ON true),
+        p AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+            CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
+        SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken FROM e""",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         m AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
