@@ -166,7 +166,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     size is the text's bytes in UTF-8 (null: none) plus extra_bytes; equal texts
     lie in one shard (null texts are equal to each other alone); the law is
     'bytes': no other contiguous cut of the groups has a smaller largest shard.
-    slot numbers a shard's rows from 0; text_crc32 of a null text and grown_shard
+    slot numbers a shard's rows from 0, in an order of no meaning; text_crc32 of a null text and grown_shard
     are null. Null or repeated ids and repeated rows are placed like others.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -177,6 +177,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(1), text, text.isNull()).alias("h1"),
         F.xxhash64(F.lit(2), text, text.isNull()).alias("h2"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = cut(rows)
     keys = shard_keys(rows, shards, groups_at_once)
@@ -186,10 +187,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         shard = shard + (F.struct("h1", "h2") >= first).cast("int")
     rows = rows.withColumn("shard", shard.cast("int"))
     bits = max(1, (-(-rows.count() // (bucket_rows * shards))).bit_length())
-    rows = rows.withColumn("o", F.xxhash64(F.lit(3), F.col("id").cast("string"))).withColumn("bucket", F.shiftrightunsigned("o", 64 - bits))
+    # rows are told apart by their number, so equal and null ids spread like others; the checkpoint holds the numbers
+    rows = rows.withColumn("o", F.xxhash64(F.lit(3), "row")).withColumn("bucket", F.shiftrightunsigned("o", 64 - bits))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    slot = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("o", "id", "h1", "h2")) - 1
+    slot = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("o", "row")) - 1
     return rows.withColumn("inside", slot).join(counts.select("shard", "bucket", "before"), ["shard", "bucket"]).select(
         "id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -44,9 +44,26 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_paths: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def made_since(mark: int) -> list[str]:
+    """The paths that fresh_path has given since it had given `mark` of them; made_since(0) is all."""
+    return _paths[mark:]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes what is stored at the paths, on any file system that Spark knows: only once nothing reads it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def uri_of(path: str) -> str:
