@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefold.llm import decontaminate, mixing, near_dedup, quality, sharding
-from lakefold.llm.shared import small, stored
+from lakefold.llm.shared import forget, made_since, small, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +28,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     above all ids, so each group keeps one row, with an id where it has one. Texts without words, and null texts, are
     near to none but an equal row. An empty table gives no rows.
     """
-    h = F.xxhash64("text")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), h)).orderBy(h)
-    own = F.col("doc_id").isNotNull() & (F.row_number().over(same) == 1)
-    far = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
-    rows = stored(docs.dropDuplicates(["doc_id", "text"]).withColumn("__node", F.when(own, F.col("doc_id").cast("long")).otherwise(far)), "rows")
+    odd = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__odd")), "odd")
+    rows = docs.withColumn("__node", F.col("doc_id").cast("long"))
+    if odd.limit(1).count():
+        few = small(odd, 16)
+        of = F.col("doc_id").eqNullSafe(F.col("__odd"))
+        rows = rows.join(few, of, "left_anti").unionByName(_own_nodes(docs.join(few, of, "left_semi")))
     found = near_dedup.near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"))
     gone = stored(found.where("NOT kept").select(F.col("id").alias("__gone")).distinct(), "gone")
     return rows.join(small(gone, 16), F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
+def _own_nodes(docs: DataFrame) -> DataFrame:
+    """One row of each id and text with its node: the id for one of its texts, numbers above all ids for the others and for null ids."""
+    h = F.xxhash64("text")
+    rows = stored(docs.dropDuplicates(["doc_id", "text"]).withColumn("__h", h), "odd_rows")
+    first = stored(rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("__h").alias("__first")), "odd_ids")
+    far = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    rows = rows.join(small(first, 24), F.col("doc_id") == F.col("__id"), "left")
+    return rows.withColumn("__node", F.when(F.col("__h") == F.col("__first"), F.col("doc_id").cast("long")).otherwise(far)).drop("__h", "__id", "__first")
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than 0.8 of every benchmark item's shingles.
 
@@ -78,10 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each written and read again before the next; what a stage has stored goes once the next has run."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
+        mark = len(made_since(0))
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"stage{k}")
+            *used, out = made_since(mark)
+            forget(spark, kept + used)
+            kept = [out]
     return docs
