@@ -41,48 +41,48 @@ def size_class(n: int) -> int:
     return max(0, int(n - 1).bit_length())
 
 
-def bin_minima(s: np.ndarray, c: int) -> np.ndarray:
-    """One-permutation MinHash of a sorted set for partition c: the least hash of each of 2 ** (c + 1) bins."""
+def are_minima(s: np.ndarray, c: int) -> np.ndarray:
+    """One-permutation MinHash of a sorted set for partition c: which hashes are the least of one of 2 ** (c + 1) bins."""
     bins = s >> np.uint64(63 - c)
-    return s[np.concatenate(([True], bins[1:] != bins[:-1]))] if s.size else s
+    return np.concatenate((np.ones(min(1, s.size), dtype=bool), bins[1:] != bins[:-1]))
 
 
 class ItemIndex:
-    """The sets of a block of items, and the bin minima of each partition of documents with the items that have them."""
+    """The shingles of a block of items, each with its items, and for each partition of documents which of them are probes."""
 
     def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
         self.ids, self.sizes, self.sets = ids, np.array([s.size for s in sets], dtype=np.int64), sets
-        self._probes: dict[int, tuple[np.ndarray, ...]] = {}
-
-    def probes(self, c: int) -> tuple[np.ndarray, ...]:
-        """(distinct probes of partition c, sorted; items probe by probe; each probe's first of them; a filter of the probes' top bits)."""
+        self.short = self.sizes < SHORT_ITEM
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self._order = np.argsort(flat, kind="stable")
+        self.hashes, first = np.unique(flat[self._order], return_index=True)
+        self.first = np.append(first, flat.size)  # of each hash among the owners
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[self._order]
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self._probes: dict[int, np.ndarray] = {}
+
+    def probes(self, c: int) -> np.ndarray:
+        """For each hash and item that has it, whether the item is probed with it in partition c."""
         if c not in self._probes:
-            parts = [s if s.size < SHORT_ITEM else bin_minima(s, c) for s in self.sets]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(parts)), [p.size for p in parts])
-            order = np.argsort(flat, kind="stable")
-            hashes, first = np.unique(flat[order], return_index=True)
-            seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self._probes[c] = hashes, owner[order], np.append(first, flat.size), seen
+            marks = [np.ones(s.size, dtype=bool) if short else are_minima(s, c) for s, short in zip(self.sets, self.short, strict=True)]
+            self._probes[c] = np.concatenate(marks)[self._order] if marks else np.zeros(0, dtype=bool)
         return self._probes[c]
 
     def search(self, s: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
         """(item number, shared shingles) of the items of which the sorted set s holds percent or more."""
-        c = size_class(s.size)
-        hashes, owners, first, seen = self.probes(c)
-        maybe = s[seen[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
-        if not maybe.size:
+        near = self.filter[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+        if not near.any():
             return
-        at = np.minimum(np.searchsorted(hashes, maybe), hashes.size - 1)
-        equal = hashes[at] == maybe
-        if not equal.any():
-            return
-        minimum = np.isin(maybe[equal], bin_minima(s, c), assume_unique=True)
+        c = size_class(s.size)
+        maybe, least = s[near], are_minima(s, c)[near]
+        at = np.minimum(np.searchsorted(self.hashes, maybe), self.hashes.size - 1)
+        equal = self.hashes[at] == maybe
         candidates = set()
-        for i, least in zip(at[equal], minimum, strict=True):
-            own = owners[first[i] : first[i + 1]]
-            candidates.update((own if least else own[self.sizes[own] < SHORT_ITEM]).tolist())
+        for i, minimum in zip(at[equal], least[equal], strict=True):
+            own = slice(self.first[i], self.first[i + 1])
+            owners = self.owners[own]
+            candidates.update(owners[self.probes(c)[own] & (self.short[owners] | minimum)].tolist())
         for k in sorted(candidates):
             place = np.minimum(np.searchsorted(s, self.sets[k]), s.size - 1)
             hits = int((s[place] == self.sets[k]).sum())
@@ -141,6 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: s
         found.append(texts.mapInArrow(_search(block, percent), _FOUND))
         if blocks > 1:  # one block's index at a time in a worker
             found[-1] = stored(found[-1], "found")
+            block.unpersist()
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

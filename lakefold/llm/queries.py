@@ -84,7 +84,29 @@ def _shingled(table: str, key: str) -> str:
     return f"SELECT DISTINCT {key}, s FROM (SELECT {key}, {_SHINGLES} FROM (SELECT {key}, {words} FROM {table}))"
 
 
+#: Bytes of a piece whose windows are cut out of it, as cutting them out of a long text takes time for all bytes before.
+_PIECE = 512
+
+
+def _repeated(name: str, length: int) -> str:
+    """Tables name_w (places of strings that start more than once) and name_s (first byte and end of the runs that they cover); texts are hex."""
+    return f"""
+        {name}_p AS (SELECT doc_id, c, substr(h, {2 * _PIECE} * c + 1, {2 * (_PIECE + length - 1)}) AS piece FROM (SELECT doc_id, h, unnest(range(0, n // {_PIECE} + 1)) AS c FROM b)),
+        {name}_a AS (SELECT doc_id, {_PIECE} * c + p AS p, md5(substr(piece, 2 * p + 1, {2 * length})) AS m FROM (SELECT doc_id, c, piece, unnest(range(0, least({_PIECE}, len(piece) // 2 - {length - 1}))) AS p FROM {name}_p)),
+        {name}_w AS (SELECT doc_id, p FROM {name}_a SEMI JOIN (SELECT m FROM {name}_a GROUP BY m HAVING count(*) > 1) USING (m)),
+        {name}_g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {length} THEN 0 ELSE 1 END AS fresh FROM {name}_w)),
+        {name}_s AS (SELECT doc_id, k, min(p) AS s, max(p) + {length} AS e FROM {name}_g GROUP BY doc_id, k)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_suffix_array_dedup": f"""
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents), {_repeated("long", suffix_dedup.LENGTH)}, {_repeated("short", suffix_dedup.PASSAGE)},
+        r AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM long_s GROUP BY doc_id), q AS (SELECT doc_id, sum(e - s) AS shared FROM short_s GROUP BY doc_id),
+        o AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS lo, s AS hi FROM long_s UNION ALL SELECT b.doc_id, coalesce(max(e), 0), any_value(n) FROM b LEFT JOIN long_s USING (doc_id) GROUP BY b.doc_id),
+        t AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM o JOIN b USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+            CAST(coalesce(shared, 0) AS BIGINT) AS n_shared, sha256(unhex(kept)) AS kept_sha256
+        FROM b JOIN t USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)""",
     "op1_benchmark_decontamination": f"""
         WITH d AS ({_shingled("documents", "doc_id")}), q AS ({_shingled("benchmark", "item_id")}),
         n AS (SELECT item_id, count(*) AS item_shingles FROM q GROUP BY item_id)
