@@ -342,6 +342,52 @@ def _(spark, d):
     return coll.union_bag(*found)
 
 
+def _counted(spark: SparkSession, parts: int) -> tuple[DataFrame, Callable[[], int]]:
+    """A frame of six rows in so many partitions, and how often one of them has been computed."""
+    ran = persist.compute_counter(spark)
+
+    def count(batches):
+        ran.add(1)
+        yield from batches
+
+    return coll.map_partitions(spark.range(0, 6, 1, parts), count, "id long"), lambda: ran.value
+
+
+@query("compute_counts", "SELECT * FROM (VALUES ('MEMORY_AND_DISK', 1, 3), ('MEMORY_AND_DISK', 2, 0), ('MEMORY_AND_DISK', 3, 0), ('NONE', 1, 3), ('NONE', 2, 3), ('NONE', 3, 3)) t(level, epoch, computed)")
+def _(spark, d):
+    """Partitions computed in each of three passes over three, kept and not."""
+    found = []
+    for level in ("MEMORY_AND_DISK", "NONE"):
+        rows, ran = _counted(spark, 3)
+        with persist.cached(rows, level) as kept:
+            for epoch in (1, 2, 3):
+                before = ran()
+                kept.agg(F.sum("id")).first()
+                found.append((level, epoch, ran() - before))
+    return spark.createDataFrame(found, "level string, epoch int, computed int")
+
+
+@query("task_metadata", "SELECT CAST(p AS INTEGER) AS part, CAST(0 AS INTEGER) AS attempt, CAST(2 AS BIGINT) AS n FROM (VALUES (0), (1), (2)) t(p)")
+def _(spark, d):
+    """Partition, attempt and rows of each task."""
+    import pyarrow as pa
+
+    def told(batches):
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get(), sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([task.attemptNumber()], pa.int32()), pa.array([n], pa.int64())], ["part", "attempt", "n"])
+
+    return coll.map_partitions(spark.range(0, 6, 1, 3), told, "part int, attempt int, n long")
+
+
+@query("explain_sections", "SELECT * FROM (VALUES ('Analyzed Logical', true), ('Optimized Logical', true), ('Parsed Logical', true), ('Physical', true)) t(plan, there)")
+def _(spark, d):
+    text = views.explained(table(spark, d, "nation").where("n_regionkey = 1").select("n_name"))
+    names = ("Parsed Logical", "Analyzed Logical", "Optimized Logical", "Physical")
+    return spark.createDataFrame([(x, f"== {x} Plan ==" in text) for x in names], "plan string, there boolean")
+
+
 # --- streaming
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -382,6 +428,19 @@ def _(spark, d):
     return replay.each_batch(nothing, lambda df, k: df.agg(F.count("*").alias("n")).withColumn("b", F.lit(k).cast("long")))
 
 
+@query("stream_restart", "SELECT CASE WHEN event_id % 3 < 2 THEN 1 ELSE 2 END AS run, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    """A second run on the same offsets takes what has come since, and nothing twice."""
+    events, path, offsets = _events(spark, d), persist.fresh_path(spark, "arriving"), persist.fresh_path(spark, "offsets")
+    late = F.col("event_id") % 3 == 2
+    found = []
+    for run, part in ((1, events.where(~late)), (2, events.where(late))):
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        found.append(replay.each_batch(stream, lambda df, k: df, offsets).withColumn("run", F.lit(run)))
+    return coll.union_bag(*found).groupBy("run", "event_type").agg(F.count("*").alias("n"))
+
+
 @query("stream_handle", "SELECT 3 AS batches, false AS stopped_before, true AS stopped_after, CAST(sum(n) AS BIGINT) AS rows_ FROM (SELECT count(*) AS n FROM events)")
 def _(spark, d):
     running = replay.start(_replayed(spark, d), lambda df, k: df.count())
@@ -481,8 +540,8 @@ def _(spark, d):
     records.register(spark)
     path = io.text_file(table(spark, d, "nation").repartition(3), F.concat_ws(",", "n_name", "n_regionkey"))
     lines = spark.readStream.format("lakefold_records").option("path", path).load()
-    out = fresh = persist.fresh_path(spark, "decoded")
-    running = replay.start(lines.select(F.split("value", ",").alias("p")), lambda df, k: df.write.mode("overwrite").parquet(f"{fresh}/{k:09d}"))
+    out = persist.fresh_path(spark, "decoded")
+    running = replay.start(lines.select(F.split("value", ",").alias("p")), lambda df, k: df.write.mode("overwrite").parquet(f"{out}/{k:09d}"))
     running.process_all()
     running.stop()
     return spark.read.parquet(f"{out}/*").select(F.col("p")[0].alias("value"), F.col("p")[1].cast("long").alias("region"))
