@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lakefold.llm import embedding_dedup, mixing, quality, sharding, shared, toxicity, warc
+from lakefold.llm import classify, embedding_dedup, mixing, quality, sharding, shared, toxicity, warc
 from lakefold.llm.shared import connected_components
 
 SCHEMA = "doc_id long, text string, source string, lang string, size long, bucket int"
@@ -215,6 +216,42 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity_scores(d, y.limit(0)).collect()} == {0.5}
 
 
+def past_a_sample(spark, word, usual):
+    """Documents and labels with over 1,500 training rows of label 1; `word` marks those that are not among the 1,500 of least hash, `usual` the others."""
+    ids = spark.range(2300).where("crc32(cast(id AS string)) % 4 <> 2").orderBy(F.xxhash64("id"), "id").collect()
+    late = {r.id for r in ids[1500:]}
+    rng = random.Random(5)
+    plain = [" ".join(rng.choices("bala beno firu goto kala leno miru doto".split(), k=rng.randrange(5, 12))) for _ in range(3200)]
+    d = [(k, f"{word if k in late else usual} {t}" if k < 2300 else t, "en") for k, t in enumerate(plain)]
+    return spark.createDataFrame(d, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k < 2300)) for k in range(3200)], "doc_id long, label int"), late
+
+
+def test_labels_are_all_learned_from(spark, monkeypatch):
+    """Every labelled row that is not held out is in one shard; an id labelled twice or on two documents is there once."""
+    monkeypatch.setattr(classify, "SHARD_ROWS", 700)
+    d, y, _ = past_a_sample(spark, "zorply", "vilely")
+    again = spark.createDataFrame([(0, "other"), (None, "none"), (9000, "not labelled")], "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    more = spark.createDataFrame([(3199, 1), (None, 1), (1, None), (9999, 1)], "doc_id long, label int")
+    shards = classify.labelled_shards(d.union(again), y.union(more), "label", lang_col="lang")
+    parts = [b for k in range(len(shards.files)) for b in shards.read(k)]
+    train = [k for k in range(3200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    want = [r.h for r in spark.createDataFrame([(k,) for k in train], "k long").select(F.xxhash64("k").alias("h")).collect()]
+    assert len(shards.files) > 2 and sorted(h for b in parts for h in b.column("h").to_pylist()) == sorted(want)
+    ones = sum(k < 2300 or k == 3199 for k in train)
+    assert shards.counts.tolist() == [len(train) - ones, ones]
+    assert sum(sum(b.column("y").to_pylist()) for b in parts) == ones
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word that no sample of 1,500 rows of least hash would hold is learned, whatever the shard that has it; reruns agree."""
+    monkeypatch.setattr(classify, "SHARD_ROWS", 700)
+    d, y, late = past_a_sample(spark, "zorply", "vilely")
+    y = y.withColumnRenamed("label", "toxic")
+    found = {r.id: r.score for r in toxicity.toxicity_scores(d, y).collect()}
+    assert len(late) > 100 and min(found[k] for k in late) >= 0.5 > max(found[k] for k in range(2300, 3200))
+    assert found == {r.id: r.score for r in toxicity.toxicity_scores(d, y).collect()}
+
+
 def test_mixed_rows_keep_rows_without_words(spark):
     rows = [(k, "w " * 10, "abc"[k % 3]) for k in range(60)] + [(100 + k, "", "c") for k in range(5)]
     got = Counter(r.doc_id for r in mixing.mixed_rows(docs(spark, rows)).collect())
