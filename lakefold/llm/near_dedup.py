@@ -198,18 +198,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differing = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b").where(differing <= most_differing(LEAST_ESTIMATE))
     stars = buckets.where("m > 2").join(banded, "key").select(F.col("a"), F.col("set").alias("b"))
-    cluster_of = connected_components(pairs.select("a", "b").union(stars).distinct().toDF("src", "dst")).toDF("set", "cluster")
+    cluster_of = connected_components(pairs.select("a", "b").union(stars).toDF("src", "dst")).toDF("set", "cluster")
 
     members = cut(cluster_of.join(sets.select("set", "id", "th", "n_shingles", "sketch"), "set"))
     sizes = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.col("total") / block_shingles).cast("int")
     members = cut(members.join(sizes.select("cluster", blocks.alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("n_blocks").cast("long"))))
-    rows = _rows(docs, id_col, text_col).join(small(members, 120), ["id", "th"]).select("cluster", "block", "n_blocks", F.col("set").alias("id"), "sketch", "text")
+    n, widest = members.agg(F.count("*"), F.max("n_blocks")).first()
+    rows = _rows(docs, id_col, text_col).join(small(members, 120, n=n), ["id", "th"]).select("cluster", "block", "n_blocks", F.col("set").alias("id"), "sketch", "text")
     rows = stored(rows.dropDuplicates(["id"]), "members")  # a row of a representative may occur more than once
     members = members.drop("id", "th").withColumnRenamed("set", "id")
-    parts = spread(members, 1500)
+    parts = spread(members, 1500, n=n)
     links = cut(_compared(rows, percent, parts))
-    if members.where("n_blocks > 1").limit(1).count():
+    if (widest or 0) > 1:
         links = _across_blocks(rows.where("n_blocks > 1"), members.where("n_blocks > 1"), links, percent, parts, block_shingles)
     roots = links.groupBy(F.col("src").alias("set")).agg(F.min("dst").alias("root"))
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ BROADCAST_BYTES = 16 << 20
 
 #: Edges of a node from which it is a hub, at least.
 HUB_EDGES = 1000
+#: Distinct edges that one task may join into components (8 MB of them); beyond it, rounds over all partitions.
+LOCAL_EDGES = BROADCAST_BYTES // 32
 #: Rows of an Arrow batch: ten times fewer than Spark's default, as a row here is a whole text.
 BATCH_ROWS = 1024
 
@@ -91,18 +96,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its counted rows of row_bytes stay within limit.
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, n: int | None = None) -> DataFrame:
+    """df, marked for broadcast if its counted rows of row_bytes stay within limit; n: its rows, where they were counted before.
 
     df must be cheap to count (stored or checkpointed). Larger ones are returned
     as they are, and the join shuffles.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if (df.count() if n is None else n) * row_bytes <= limit else df
 
 
-def spread(df: DataFrame, rows_each: int, least: int = 8) -> int:
-    """A number of partitions that grows with df's rows."""
-    return max(least, -(-df.count() // rows_each))
+def spread(df: DataFrame, rows_each: int, least: int = 8, n: int | None = None) -> int:
+    """A number of partitions that grows with df's rows; n as in small()."""
+    return max(least, -(-(df.count() if n is None else n) // rows_each))
 
 
 def held_out(doc_id: str, mod: int) -> Column:
@@ -110,23 +115,54 @@ def held_out(doc_id: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod == 2, F.lit(False))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of the graph of (src, dst), as (node, component).
+def least_of_components(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of the component of each) of the graph of these edges.
 
-    component is the least node of the component. Alternates large-star and
-    small-star steps until the edges are stars. A node's least neighbour is
+    A root that an edge links to a lesser root is hung below the least of them, then all paths are shortened, until no edge
+    links two roots.
+    """
+    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = at[: hi.size], at[hi.size :]
+    root = np.arange(nodes.size)
+    while a.size:
+        ra, rb = root[a], root[b]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(root, above := root[root]):
+            root = above
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    return nodes, nodes[root]
+
+
+def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column("hi").to_numpy(), b.column("lo").to_numpy()) for b in batches if b.num_rows]
+    if ends:
+        nodes, least = least_of_components(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+        for at in range(0, nodes.size, 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536]) for x in (nodes, least)], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """Components of the graph of (src, dst), whole numbers, as (node, component).
+
+    component is the least node of the component. Up to local_edges distinct
+    edges (LOCAL_EDGES if None) are joined by one task: rounds over all
+    partitions take the driver far more memory than such a graph. A larger graph
+    alternates large-star and small-star steps until its edges are stars, or few
+    enough for one task. A node's least neighbour is
     combined on the map side; the edges of a hub then meet it by broadcast, as
     only few nodes can have that many edges, and those of the others by a
     shuffle. Rows with a null end are left out; so are nodes without an edge to
     another node.
     """
+    local_edges = LOCAL_EDGES if local_edges is None else local_edges
     now = cut(
         edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
         .select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
         .distinct()
     )
     seen = _mark(now)
-    while seen[0]:
+    while seen[0] > local_edges:
         large = _large_star(now, seen[0]).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         rest = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
@@ -134,6 +170,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (then := _mark(now)) == seen:
             break
         seen = then
+    else:
+        kind = now.schema["hi"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_local_components, f"node {kind}, component {kind}")
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.union(stars.select("component", "component").distinct())
 

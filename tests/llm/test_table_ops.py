@@ -40,6 +40,34 @@ def test_components(spark, hub, monkeypatch):
     assert got == {x: root(x) for x in parent}
 
 
+@pytest.mark.parametrize("local", [0, 100, None])
+def test_components_of_small_graphs_take_few_jobs(spark, local, monkeypatch):
+    """A graph that one task holds takes no rounds; rounds, with hubs and until few edges are left, give the same."""
+    monkeypatch.setattr(shared, "HUB_EDGES", 3)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1030)] + [(-5, -9), (-9, 1 << 62)]
+    spark.sparkContext.setJobGroup(f"components {local}", "")
+    try:
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), *[local] * (local is not None)).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1030)} | {-5: -9, -9: -9, 1 << 62: -9}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {local}"))
+    assert jobs <= 8 if local is None else jobs > 8
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), *[local] * (local is not None)).count() == 0
+
+
+def test_least_of_components():
+    rng = np.random.default_rng(3)
+    for n, m in ((50, 20), (400, 400), (3000, 1500)):
+        hi, lo = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = {x: x for x in {*hi.tolist(), *lo.tolist()}}
+        while any(label[a] != label[b] for a, b in zip(hi.tolist(), lo.tolist(), strict=True)):
+            for a, b in zip(hi.tolist(), lo.tolist(), strict=True):
+                label[a] = label[b] = min(label[a], label[b])
+        nodes, least = shared.least_of_components(hi, lo)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == label
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a"] * 12 + ["b", "c", "é", None])) for k in range(400)] + [(None, "x y", "a"), (3, None, "b"), (3, None, "b"), (900, "", "empty")]
